@@ -167,7 +167,7 @@ def random_sample_count(spark, sf_dir):
 )
 def page_plan(spark, sf_dir):
     n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
-    plan = feed.page_plan(F.col("n"), PAGE, "fetch?size=$BATCHSIZE&offset=$OFFSET&iteration=$ITERATION", F.lit(0))
+    plan = feed.page_plan(F.col("n"), PAGE, F.lit("fetch?size=$BATCHSIZE&offset=$OFFSET&iteration=$ITERATION"), F.lit(0))
     return n.select(F.explode(plan).alias("p")).select("p.batch", "p.url")
 
 

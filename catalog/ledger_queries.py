@@ -103,16 +103,12 @@ def export_resume(spark, sf_dir):
     Records are keyed by their text. The first batch holds the first appearances
     among every third document; the second run skips what the ledger knows.
     """
-    d = docs(spark, sf_dir).withColumn("api_hash", F.md5("text"))
-    firsts = with_entries(first_per_key(d.select("api_hash", "seq", "doc_id", "set", "fname", "lang", "n_chars", "text"), "api_hash", "seq"))
-    records = firsts.select(
-        "seq", "doc_id", "set", "api_hash", "reason",
-        F.transform("entries", lambda e: e.withField("url", F.lit(None).cast("string"))).alias("entries"),
-    )
-    bytes_of = table(spark, sf_dir, "documents").select(F.lit("").alias("url"), F.col("text").cast("binary").alias("content")).limit(0)
+    records = with_entries(docs(spark, sf_dir).withColumn("api_hash", F.md5("text")))
+    firsts = first_per_key(records.select("api_hash", "seq"), "api_hash", "seq")
     out = scratch_path(spark, "export")
-    one = export(records.filter(F.col("doc_id") % 3 == 0), JOB, out, "jsonl", bytes_of, batch="0")
-    two = export(records, JOB, out, "jsonl", bytes_of, mode="resume", batch="1")
+    early = records.join(firsts.filter(F.col("seq") % 3 == 0).select("seq"), "seq", "left_semi")
+    one = export(early, JOB, out, "jsonl", batch="0")
+    two = export(records, JOB, out, "jsonl", mode="resume", batch="1")
     counted = lambda df, run: df.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("written"))
     verified = verify_local(spark, out, "jsonl").select(F.lit("verified").alias("run"), F.col("found").alias("written"))
     return counted(one.written, "first").unionByName(counted(two.written, "resumed")).unionByName(verified)

@@ -15,7 +15,7 @@ from setwright.session import staged
 from setwright.sinks import blobfiles
 from setwright.sinks.writers import WRITERS, Context
 from setwright.sources.archives import expand_archives
-from setwright.sources.assets import attach_payloads, name_defect, with_reason
+from setwright.sources.assets import attach_payloads, name_defect, payload_defect, with_reason
 from setwright.sources.job import Job
 
 
@@ -47,20 +47,30 @@ def repeated(records: DataFrame, iterations: int) -> DataFrame:
     )
 
 
+_RECORD = ("seq", "set", "api_hash", "entries", "reason")
+_REJECT = ("seq", "set", "api_hash", "reason")
+
+
 def _checked(records: DataFrame, job: Job) -> DataFrame:
     known = F.col("set").isin(*job.splits)
-    return records.withColumn(
-        "reason",
-        F.coalesce(
-            "reason",
-            F.when(~is_hash_text("api_hash"), "bad_hash").when(
-                ~F.coalesce(known, F.lit(False)), "unknown_set"
-            ),
-        ),
+    defect = F.when(~is_hash_text("api_hash"), "bad_hash").when(
+        ~F.coalesce(known, F.lit(False)), "unknown_set"
+    )
+    return records.withColumn("reason", F.coalesce("reason", defect)).withColumn(
+        "api_hash", F.lower("api_hash")
     )
 
 
-def _external_blobs(records: DataFrame, assets: DataFrame) -> DataFrame:
+def _with_payloads(records: DataFrame, assets: DataFrame | None, job: Job, keep_content: bool) -> DataFrame:
+    """Records with archives opened and payloads attached, or checked if there are no assets."""
+    if assets is None:
+        placed = records.withColumn("member_pos", F.lit(0).cast("bigint"))
+        return with_reason(placed, payload_defect)
+    expanded = expand_archives(records, assets, job.fields, keep_content)
+    return attach_payloads(expanded, assets, keep_content)
+
+
+def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame) -> DataFrame:
     """``(filename, content)`` of accepted records' blobs, each name once.
 
     Blobs that came out of archives are in the entries; the others are fetched
@@ -68,9 +78,10 @@ def _external_blobs(records: DataFrame, assets: DataFrame) -> DataFrame:
     """
     blobs = (
         records.filter(F.col("reason").isNull())
+        .join(accepted.select("seq", "member_pos"), ["seq", "member_pos"], "left_semi")
         .select(F.explode("entries").alias("e"))
         .filter(is_blob(F.col("e")))
-        .select(F.col("e.filename").alias("filename"), F.col("e.url").alias("url"), F.col("e.content").alias("content"))
+        .select("e.filename", "e.url", "e.content")
     )
     inline = blobs.filter(F.col("content").isNotNull()).select("filename", "content")
     wanted = blobs.filter(F.col("content").isNull()).select("filename", "url").distinct()
@@ -113,16 +124,14 @@ def export(
         writer.clear(spark, out)
     external = blobs == "external" or not writer.capabilities.blobs
 
-    checked = _checked(records, job)
-    bad = checked.filter(F.col("reason").isNotNull()).select("seq", "set", "api_hash", "reason")
+    # Typed records are small beside their payloads: they are written once, so that
+    # no later branch of the plan parses the feed again.
+    checked = staged(_checked(records.select(*_RECORD), job), "records")
+    bad = checked.filter(F.col("reason").isNotNull())
     good = checked.filter(F.col("reason").isNull())
     fresh = new_records(good, ledger.hashes(without_batch=batch), ["seq"])
-    fresh = first_per_key(fresh.select("seq", "set", "api_hash", "entries", "reason"), "api_hash", "seq")
-
-    if assets is None:
-        assets = spark.createDataFrame([], "url string, content binary")
-    expanded = expand_archives(fresh, assets, job.fields, keep_content=not external)
-    ready = attach_payloads(expanded, assets, keep_content=not external)
+    fresh = staged(first_per_key(fresh, "api_hash", "seq"), "fresh")
+    ready = _with_payloads(fresh, assets, job, keep_content=not external)
     if external:
         ready = with_reason(ready, name_defect)
 
@@ -130,13 +139,13 @@ def export(
         writer.encode(ready, Context(job, out, batch, ledger, tree, escape)), "encoded"
     )
     accepted = encoded.filter(F.col("reason").isNull())
-    if external:
-        kept = accepted.select("seq", "member_pos")
-        with_bytes = expand_archives(fresh, assets, job.fields, keep_content=True)
-        blob_rows = _external_blobs(with_bytes.join(kept, ["seq", "member_pos"], "left_semi"), assets)
+    if external and assets is not None:
+        kept = fresh.join(accepted.select("seq").distinct(), "seq", "left_semi")
+        with_bytes = expand_archives(kept, assets, job.fields, keep_content=True)
         blobfiles.register(spark)
         (
-            blob_rows.select(blob_path("filename", "", tree).alias("path"), "content")
+            _external_blobs(with_bytes, accepted, assets)
+            .select(blob_path("filename", "", tree).alias("path"), "content")
             .write.format("blobfiles")
             .mode("append")
             .save(out)
@@ -149,7 +158,9 @@ def export(
     ledger.append_hashes(with_id, batch)
     return Exported(
         accepted.select("seq", "set", "api_hash", "member_pos", "record_hash", "file_name"),
-        bad.unionByName(encoded.filter(F.col("reason").isNotNull()).select("seq", "set", "api_hash", "reason")),
+        bad.select(*_REJECT).unionByName(
+            encoded.filter(F.col("reason").isNotNull()).select(*_REJECT)
+        ),
     )
 
 

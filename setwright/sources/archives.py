@@ -72,6 +72,7 @@ class _UnpackArchive:
                 problem = "bad_manifest"
         if problem:
             yield None, None, None, None, problem
+            return
         listed = set()
         for pos, entry in enumerate(entries):
             name = entry.get("filename")

@@ -24,7 +24,7 @@ def read_pages(spark: SparkSession, path: str, one_page_per: str = "file") -> Da
     return text.select(F.col("_metadata.file_path").alias("page_file"), F.col("value").alias("body"))
 
 
-def page_plan(count: Column, size: int, template: str, iteration: Column) -> Column:
+def page_plan(count: Column, size: int, template: Column, iteration: Column) -> Column:
     """The pages that cover ``count`` records, as ``array<struct<batch, url>>``."""
     batches = F.ceil(count / size)
     return F.transform(
@@ -140,67 +140,65 @@ def _lookup(pairs: Sequence[tuple], key_type: str) -> Column:
     return F.create_map(*flat).cast(f"map<{key_type},int>")
 
 
-def parse_entry(entry: Column, mapping: Sequence[Field]) -> Column:
-    """One entry (a VARIANT object) to the typed entry struct with a reject reason.
-
-    The output id comes from the field name, else the field id, else the id
-    given. The mapping is part of the job document, so it is a literal map: the
-    lookup is done inside the row and moves nothing.
-    """
-    by_field = _lookup([(f.field_id, f.id) for f in mapping if f.field_id is not None], "int")
-    by_name = _lookup([(f.name, f.id) for f in mapping], "string")
-    members = _object(entry)
-    kind, dtype = _text(members, "type"), _text(members, "dtype")
-    field_id, name = _int(members, "fieldid"), _text(members, "name")
-    own_id = F.coalesce(
-        F.try_element_at(by_name, name), F.try_element_at(by_field, field_id), _int(members, "id")
-    )
-    unknown_field = (name.isNotNull() & F.try_element_at(by_name, name).isNull()) | (
-        field_id.isNotNull() & F.try_element_at(by_field, field_id).isNull()
-    )
-    has_value = F.coalesce(F.map_contains_key(members, "value"), F.lit(False))
-    numeric = F.coalesce(kind == schema.NUMERIC, F.lit(False))
-    int_value = F.when(numeric & (dtype == "int"), _int(members, "value"))
-    float_value = F.when(numeric & (dtype == "float"), _float(members, "value"))
-    string_value = F.when(kind == schema.STRING, _text(members, "value"))
-    url, filename = _text(members, "url"), _text(members, "filename")
-    reason = (
-        F.when(kind.isNull(), "missing_type")
-        .when(has_value & numeric & dtype.isNull(), "missing_dtype")
-        .when(has_value & numeric & ~dtype.isin("int", "float"), "bad_dtype")
-        .when(has_value & numeric & F.coalesce(int_value.cast("float"), float_value).isNull(), "bad_value")
-        .when(has_value & ~kind.isin(*schema.SCALAR_TYPES), "value_on_blob")
-        .when(unknown_field, "unknown_field")
-        .when(own_id.isNull() & (kind != schema.ARCHIVE), "no_output_id")
-        .when(
-            (url.isNotNull() & (url != "")) & ~kind.isin(*schema.BLOB_TYPES, schema.ARCHIVE),
-            "url_on_scalar",
-        )
-    )
+def _entry_members(members: Column) -> Column:
+    """The members of one entry, each read once, before they are judged."""
+    numeric = _text(members, "type") == schema.NUMERIC
     optional = F.transform_values(
         F.map_filter(
-            members,
-            lambda k, v: ~k.isin(*schema.ENTRY_KEYS) & _array(v).isNotNull(),
+            members, lambda k, v: ~k.isin(*schema.ENTRY_KEYS) & _array(v).isNotNull()
         ),
         lambda k, v: F.transform(_array(v), lambda e: F.try_variant_get(e, "$", "string")),
     )
     return F.struct(
-        own_id.alias("id"),
-        kind.alias("type"),
-        dtype.alias("dtype"),
-        field_id.alias("field_id"),
-        name.alias("field_name"),
-        F.when(F.coalesce(filename, F.lit("")) != "", filename)
-        .otherwise(default_filename(url, dtype))
-        .alias("filename"),
-        url.alias("url"),
+        _int(members, "id").alias("id"),
+        _text(members, "type").alias("type"),
+        _text(members, "dtype").alias("dtype"),
+        _int(members, "fieldid").alias("field_id"),
+        _text(members, "name").alias("field_name"),
+        _text(members, "filename").alias("filename"),
+        _text(members, "url").alias("url"),
         _int(members, "channels").alias("channels"),
         _int(members, "width").alias("width"),
         _int(members, "height").alias("height"),
-        string_value.alias("string_value"),
+        F.coalesce(F.map_contains_key(members, "value"), F.lit(False)).alias("has_value"),
+        _text(members, "value").alias("text"),
+        F.when(numeric, _int(members, "value")).alias("whole"),
+        F.when(numeric, _float(members, "value")).alias("fraction"),
+        optional.alias("optional"),
+    )
+
+
+def _entry_struct(m: Column, by_field: Column, by_name: Column) -> Column:
+    named = F.try_element_at(by_name, m["field_name"])
+    numbered = F.try_element_at(by_field, m["field_id"])
+    own_id = F.coalesce(named, numbered, m["id"])
+    unknown_field = (m["field_name"].isNotNull() & named.isNull()) | (
+        m["field_id"].isNotNull() & numbered.isNull()
+    )
+    kind, dtype = m["type"], m["dtype"]
+    number = m["has_value"] & (kind == schema.NUMERIC)
+    int_value = F.when(dtype == "int", m["whole"])
+    float_value = F.when(dtype == "float", m["fraction"])
+    reason = (
+        F.when(kind.isNull(), "missing_type")
+        .when(number & dtype.isNull(), "missing_dtype")
+        .when(number & ~dtype.isin("int", "float"), "bad_dtype")
+        .when(number & F.coalesce(int_value.cast("float"), float_value).isNull(), "bad_value")
+        .when(m["has_value"] & ~kind.isin(*schema.SCALAR_TYPES), "value_on_blob")
+        .when(unknown_field, "unknown_field")
+        .when(own_id.isNull() & (kind != schema.ARCHIVE), "no_output_id")
+        .when((m["url"] != "") & kind.isin(*schema.SCALAR_TYPES), "url_on_scalar")
+    )
+    named_file = F.coalesce(m["filename"], F.lit("")) != ""
+    return F.struct(
+        own_id.alias("id"),
+        *[m[f].alias(f) for f in ("type", "dtype", "field_id", "field_name")],
+        F.when(named_file, m["filename"]).otherwise(default_filename(m["url"], dtype)).alias("filename"),
+        *[m[f].alias(f) for f in ("url", "channels", "width", "height")],
+        F.when(kind == schema.STRING, m["text"]).alias("string_value"),
         int_value.alias("int_value"),
         float_value.alias("float_value"),
-        optional.alias("optional"),
+        m["optional"].alias("optional"),
         reason.alias("reason"),
         F.lit(None).cast("binary").alias("content"),
         F.lit(None).cast("string").alias("digest"),
@@ -208,6 +206,26 @@ def parse_entry(entry: Column, mapping: Sequence[Field]) -> Column:
     )
 
 
+def typed_entries(entries: Column, mapping: Sequence[Field]) -> Column:
+    """An array of entries (VARIANT objects) to typed structs, each with its reject reason.
+
+    The output id comes from the field name, else the field id, else the id
+    given. The mapping is part of the job document, so it is a literal map: the
+    lookup is done inside the row and moves nothing. The steps are separate
+    transforms so that no member is read twice.
+    """
+    by_field = _lookup([(f.field_id, f.id) for f in mapping if f.field_id is not None], "int")
+    by_name = _lookup([(f.name, f.id) for f in mapping], "string")
+    objects = F.transform(entries, lambda e: _object(e))
+    members = F.transform(objects, lambda o: _entry_members(o))
+    return F.transform(members, lambda m: _entry_struct(m, by_field, by_name))
+
+
+def parse_entry(entry: Column, mapping: Sequence[Field]) -> Column:
+    """One entry (a VARIANT object) to the typed struct."""
+    return F.get(typed_entries(F.array(entry), mapping), F.lit(0))
+
+
 def parse_entries(records: DataFrame, mapping: Sequence[Field]) -> DataFrame:
     """Type the entries of each record; a record with a bad entry gets that entry's reason."""
     keep = [c for c in records.columns if c not in ("data", "reason")]
@@ -215,7 +233,7 @@ def parse_entries(records: DataFrame, mapping: Sequence[Field]) -> DataFrame:
         *keep,
         "reason",
         F.coalesce(
-            F.transform("data", lambda e: parse_entry(e, mapping)),
+            typed_entries(F.col("data"), mapping),
             F.array().cast(f"array<{schema.ENTRY}>"),
         ).alias("entries"),
     )
