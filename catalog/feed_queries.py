@@ -270,8 +270,8 @@ def pivot_entries(spark, sf_dir):
     )
     d = table(spark, sf_dir, "documents").select("doc_id", entries.alias("entries"))
     cell = lambda e: F.coalesce(e["string_value"], e["int_value"].cast("string"))
-    cells = output_cells(F.col("entries"), FIELDS, cell)
-    return d.select("doc_id", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    cells = d.select("doc_id", output_cells(F.col("entries"), FIELDS, cell).alias("cells"))
+    return cells.select("doc_id", *[F.col("cells")[i].alias(f"c{i}") for i in range(len(FIELDS))])
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,21 +87,46 @@ def int_text(c: Column | str) -> Column:
     return _col(c).cast("string")
 
 
+def _large_text(size: Column) -> Column:
+    """Every digit of a single-precision value from 2**62 on.
+
+    Such a value is ``a * 2**b`` with a small ``a``, so taking the power of two
+    out is exact. Above 38 digits the product is made in two halves.
+    """
+    unit = 2**78
+    high, low = divmod(unit, 10**12)
+    a = (size / float(unit)).cast("bigint").cast("decimal(16,0)")
+    tail = a * F.lit(Decimal(low))
+    head = (a * F.lit(Decimal(high)) + F.floor(tail / F.lit(Decimal(10**12)))).cast("decimal(38,0)")
+    halves = F.concat(
+        head.cast("string"), F.lpad((tail % F.lit(Decimal(10**12))).cast("decimal(12,0)").cast("string"), 12, "0")
+    )
+    product = (size / float(2**39)).cast("bigint").cast("decimal(19,0)") * F.lit(Decimal(2**39))
+    return F.when(size < float(2**101), product.cast("string")).otherwise(halves)
+
+
 def float_text(c: Column | str) -> Column:
     """A single-precision value with six decimals, as C's ``%f`` prints it.
 
-    The tie is decided on the exact binary value, so the widened value goes
-    through a decimal that holds it and is rounded half to even.
+    A 24-bit number times a million still fits a double exactly, so rounding it
+    half to even decides ties on the exact binary value.
     """
     single = _col(c).cast("float")
     size = F.abs(single.cast("double"))
-    sign = F.when(single.cast("string").startswith("-"), "-").otherwise("")
-    exact = F.bround(size.try_cast("decimal(38,18)"), 6).cast("string")
-    text = F.coalesce(exact, F.format_string("%.6f", size))
+    # Negative zero keeps its sign; only zeros are printed to see it.
+    negative_zero = (single == 0) & F.startswith(single.cast("string"), F.lit("-"))
+    sign = F.when((single < 0) | negative_zero, "-").otherwise("")
+    micros = F.rint(size * 1e6).cast("bigint")
+    whole = F.floor(micros / 1e6).cast("string")
+    fraction = F.lpad((micros % 1_000_000).cast("string"), 6, "0")
+    # The rare case is kept out of the generated code by the array around it.
+    large = F.get(F.transform(F.array(size), _large_text), F.lit(0))
     return (
-        F.when(F.isnan(single), "nan")
+        F.when(size < 1e9, F.concat(sign, whole, F.lit("."), fraction))
+        .when(F.isnan(single), "nan")
         .when(size == float("inf"), F.concat(sign, F.lit("inf")))
-        .otherwise(F.concat(sign, text))
+        .when(size < float(2**62), F.concat(sign, size.cast("bigint").cast("string"), F.lit(".000000")))
+        .otherwise(F.concat(sign, large, F.lit(".000000")))
     )
 
 

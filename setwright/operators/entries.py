@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from setwright import schema
-from setwright.functions.text import blob_path, float_text, int_text, join_fields, quoted
+from setwright.functions.text import blob_path, float_text, int_text, join_tokens, quoted
 from setwright.sources.job import Field
 
 
@@ -35,25 +35,40 @@ def cell_text(e: Column, root: str, tree: bool, escape: bool = False) -> Column:
     )
 
 
-def output_cell(entries: Column, field: Field, cell) -> Column:
-    """One output column: of entries with the same id the last counts; numbers are appended."""
-    own = F.filter(entries, lambda e: e["id"] == field.id)
-    return F.aggregate(
-        own,
-        F.lit(""),
-        lambda text, e: F.when(
-            e["type"] == schema.NUMERIC, F.concat(text, F.coalesce(cell(e), F.lit("")))
-        ).otherwise(F.coalesce(cell(e), F.lit(""))),
+def output_cells(entries: Column, fields: Sequence[Field], cell) -> Column:
+    """The cells of a record in output column order, as an array; a field without entry is ''.
+
+    Of entries with the same id the last counts; numbers are appended. Every
+    entry's text is made once: the array of texts is bound to a lambda variable
+    and the fields look into it.
+    """
+    texts = F.transform(
+        entries,
+        lambda e: F.struct(
+            e["id"].alias("id"),
+            (e["type"] == schema.NUMERIC).alias("number"),
+            F.coalesce(cell(e), F.lit("")).alias("text"),
+        ),
     )
+    ids = F.array(*[F.lit(f.id) for f in fields])
 
+    def of_field(made: Column, field_id: Column) -> Column:
+        return F.aggregate(
+            F.filter(made, lambda t: t["id"] == field_id),
+            F.lit(""),
+            lambda text, t: F.when(t["number"], F.concat(text, t["text"])).otherwise(t["text"]),
+        )
 
-def output_cells(entries: Column, fields: Sequence[Field], cell) -> list[Column]:
-    """The cells in output column order; a field without entry is empty."""
-    return [output_cell(entries, f, cell) for f in fields]
+    bound = F.transform(F.array(texts), lambda made: F.transform(ids, lambda i: of_field(made, i)))
+    return F.get(bound, F.lit(0))
 
 
 def output_line(entries: Column, fields: Sequence[Field], cell) -> Column:
-    return join_fields(output_cells(entries, fields, cell))
+    """The cells joined by one space; cells that are empty at the start vanish."""
+    joined = F.transform(
+        F.array(output_cells(entries, fields, cell)), lambda cells: join_tokens(cells, " ")
+    )
+    return F.get(joined, F.lit(0))
 
 
 def last_of(entries: Column, field: Field) -> Column:
