@@ -20,7 +20,7 @@ def read_pages(spark: SparkSession, path: str, one_page_per: str = "file") -> Da
     """Feed pages as ``(page_file, body)``: one per file, or one per line."""
     if one_page_per not in ("file", "line"):
         raise ValueError("one_page_per is 'file' or 'line'")
-    text = spark.read.option("wholetext", one_page_per == "file").text(path)
+    text = spark.read.text(path, wholetext=one_page_per == "file")
     return text.select(F.col("_metadata.file_path").alias("page_file"), F.col("value").alias("body"))
 
 

@@ -17,11 +17,8 @@ from setwright.sources.job import Field, Job
 
 def page_stream(spark: SparkSession, landing: str, files_per_batch: int = 4, one_page_per: str = "file") -> DataFrame:
     """Pages as they land, a bounded number of files per micro-batch."""
-    text = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .option("wholetext", one_page_per == "file")
-        .text(landing)
-    )
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    text = reader.text(landing, wholetext=one_page_per == "file")
     return text.select(F.col("_metadata.file_path").alias("page_file"), F.col("value").alias("body"))
 
 
