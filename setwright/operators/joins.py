@@ -8,56 +8,65 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this share of all rows on, so at most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 0.001
+# A key is hot from this many rows on; below it no task is overloaded.
+HOT_ROWS = 5_000_000
+# At most this many keys are spread. Any key with more than a thousandth of all
+# rows is among them, and the other keys are joined as usual.
+HOT_KEYS = 1000
 # Tasks one hot key is spread over.
 HOT_FANOUT = 64
-# Below this many rows on the left no task can be overloaded.
-SPREAD_FROM_ROWS = 5_000_000
 # A lookup side is broadcast up to these sizes, both checked.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame | None:
+    """The most frequent keys (NULL among them) with ``min_rows`` rows or more, if any.
+
+    One map-side-combined count over the key columns alone; no more than
+    ``HOT_KEYS`` keys come to the driver.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
+    top = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on)
+    found = top.collect()
+    return rows.sparkSession.createDataFrame(found, top.schema) if found else None
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str,
     salt_on: Sequence[str],
-    min_rows: int = SPREAD_FROM_ROWS,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join to a side with unique keys, splitting the hot keys of the left side.
 
     ``how`` is inner, left, left_semi or left_anti. Left rows of a hot key are
     spread by a hash of ``salt_on`` (columns that tell rows apart), and the one
-    right row of such a key is repeated per salt. Hot keys are found by a
-    map-side-combined count over the key columns alone; there are at most
-    ``1 / HOT_SHARE`` of them, which bounds what is broadcast.
+    right row of such a key is repeated per salt. Hot keys are looked for first;
+    where there are none, this is the plain join. The left side is read for
+    that, so it should be a scan or a staged table.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_total"))
-    hot = counts.filter(
-        (F.col("_n") >= min_rows) & (F.col("_n") > total.scalar() * HOT_SHARE)
-    ).select(*on, F.lit(True).alias("_hot"))
-    # Rows without a key match nothing; they are spread too, so as not to meet in one task.
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_hot") | no_key, F.pmod(F.xxhash64(*salt_on), F.lit(HOT_FANOUT)).cast("int")
-        ).otherwise(0),
-    )
-    salted_right = right.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_FANOUT - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
+    hot = hot_keys(left, on, min_rows)
+    if hot is None:
+        return left.join(right, on, how)
+    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most HOT_KEYS rows
+
+    def with_flag(side: DataFrame) -> DataFrame:
+        names = {c: f"_hot_{c}" for c in on}
+        keys = flagged.select(*[F.col(c).alias(n) for c, n in names.items()], "_hot")
+        same = reduce(lambda a, b: a & b, [side[c].eqNullSafe(keys[n]) for c, n in names.items()])
+        return side.join(keys, same, "left").drop(*names.values())
+
+    salt = F.pmod(F.xxhash64(*salt_on), F.lit(HOT_FANOUT)).cast("int")
+    salts = F.sequence(F.lit(0), F.lit(HOT_FANOUT - 1))
+    salted_left = with_flag(left).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+    salted_right = with_flag(right).withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0))))
     )
     joined = salted_left.drop("_hot").join(salted_right.drop("_hot"), [*on, "_salt"], how)
     return joined.drop("_salt")

@@ -6,7 +6,6 @@ a batch again after a failure replaces it.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from setwright import schema
 from setwright.functions.text import hex_to_bytes
 from setwright.operators.joins import lookup_join, spread_join
 from setwright.operators.numbering import dense_ids
+from setwright.session import exists
 
 TABLES = {
     "hashes": schema.HASHES,
@@ -96,6 +96,8 @@ class Ledger:
         """Start an empty ledger with the job's key/value rows; an older one is truncated."""
         ledger = cls(spark, path)
         for table, columns in TABLES.items():
+            if not exists(spark, f"{ledger.path}/{table}"):
+                continue
             (
                 spark.createDataFrame([], columns)
                 .write.mode("overwrite")
@@ -112,13 +114,14 @@ class Ledger:
     def open(cls, spark: SparkSession, path: str) -> "Ledger":
         """Load an existing ledger; a missing one is an error."""
         ledger = cls(spark, path)
-        try:
-            ledger.table("metadata")
-        except AnalysisException as missing:
-            raise FileNotFoundError(f"no ledger at {path}") from missing
+        if not exists(spark, f"{ledger.path}/metadata"):
+            raise FileNotFoundError(f"no ledger at {path}")
         return ledger
 
     def table(self, name: str) -> DataFrame:
+        """One table; it is empty until its first append."""
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
     def hashes(self, without_batch: str | None = None) -> DataFrame:

@@ -62,6 +62,10 @@ def row_positions(
     df: DataFrame, order: Sequence[str], name: str = "position", rows: int | None = None
 ) -> DataFrame:
     """Add the 0-based position of each row in ``order`` over the whole table."""
+    rows = df.count() if rows is None else rows
+    if rows <= ROWS_PER_PARTITION:  # one partition's worth, by count
+        place = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
+        return df.select("*", place.alias(name))
     ordered = in_order(df, order, rows)
     base = F.broadcast(_before(ordered, F.count(F.lit(1)), "_base"))
     return ordered.join(base, "_part").select(
@@ -73,7 +77,11 @@ def group_positions(
     df: DataFrame, group: str, order: Sequence[str], name: str = "position"
 ) -> DataFrame:
     """Add the 0-based position of each row within its group, however large the group is."""
-    placed = row_positions(df, [group, *order], "_global")
+    rows = df.count()
+    if rows <= ROWS_PER_PARTITION:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint") - 1
+        return df.select("*", place.alias(name))
+    placed = row_positions(df, [group, *order], "_global", rows)
     starts = placed.groupBy(group).agg(F.min("_global").alias("_start"))
     return lookup_join(placed, starts, [group], salt_on=["_global"]).select(
         *df.columns, (F.col("_global") - F.col("_start")).alias(name)
@@ -84,7 +92,11 @@ def running_totals(
     df: DataFrame, group: str, order: Sequence[str], amount: str, name: str = "total_before"
 ) -> DataFrame:
     """Add the sum of ``amount`` over the earlier rows of the same group."""
-    ordered = in_order(df, [group, *order])
+    rows = df.count()
+    if rows <= ROWS_PER_PARTITION:
+        earlier = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias(name))
+    ordered = in_order(df, [group, *order], rows)
     base = F.broadcast(_before(ordered, F.sum(amount), "_base"))
     # Each window group is one range partition, so it is bounded by its size.
     inside = Window.partitionBy("_part").orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,10 +11,10 @@ from setwright.functions.text import blob_path, is_hash_text
 from setwright.operators.entries import is_blob
 from setwright.operators.joins import spread_join
 from setwright.operators.ledger import Ledger, first_per_key, new_records, verify_feed, verify_records
-from setwright.session import staged
+from setwright.session import exists, staged
 from setwright.sinks import blobfiles
 from setwright.sinks.writers import WRITERS, Context
-from setwright.sources.archives import expand_archives
+from setwright.sources.archives import expand_archives, holds_archive
 from setwright.sources.assets import attach_payloads, name_defect, payload_defect, with_reason
 from setwright.sources.job import Job
 
@@ -61,13 +61,19 @@ def _checked(records: DataFrame, job: Job) -> DataFrame:
     )
 
 
+def _opened(records: DataFrame, assets: DataFrame, job: Job, keep_content: bool) -> DataFrame:
+    """Records with archives replaced by their members; unpacked once and staged."""
+    if records.filter(holds_archive()).isEmpty():
+        return records.withColumn("member_pos", F.lit(0).cast("bigint"))
+    return staged(expand_archives(records, assets, job.fields, keep_content), "opened")
+
+
 def _with_payloads(records: DataFrame, assets: DataFrame | None, job: Job, keep_content: bool) -> DataFrame:
     """Records with archives opened and payloads attached, or checked if there are no assets."""
     if assets is None:
         placed = records.withColumn("member_pos", F.lit(0).cast("bigint"))
         return with_reason(placed, payload_defect)
-    expanded = expand_archives(records, assets, job.fields, keep_content)
-    return attach_payloads(expanded, assets, keep_content)
+    return attach_payloads(_opened(records, assets, job, keep_content), assets, keep_content)
 
 
 def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def export(
         raise ValueError("blobs is 'auto' or 'external'")
     spark, out = records.sparkSession, out.rstrip("/")
     ledger = open_ledger(spark, out, name or job.name, mode)
-    if mode == "new":
+    if mode == "new" and exists(spark, f"{out}/{writer.folder}"):
         writer.clear(spark, out)
     external = blobs == "external" or not writer.capabilities.blobs
 
@@ -141,7 +147,7 @@ def export(
     accepted = encoded.filter(F.col("reason").isNull())
     if external and assets is not None:
         kept = fresh.join(accepted.select("seq").distinct(), "seq", "left_semi")
-        with_bytes = expand_archives(kept, assets, job.fields, keep_content=True)
+        with_bytes = _opened(kept, assets, job, keep_content=True)
         blobfiles.register(spark)
         (
             _external_blobs(with_bytes, accepted, assets)

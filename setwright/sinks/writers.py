@@ -51,6 +51,7 @@ class SetWriter(ABC):
     name: str
     capabilities: Capabilities
     extension = "txt"
+    folder = "lines"
     # Declared options: required, option, example, description.
     options: tuple[tuple[bool, str, str, str], ...] = ()
 
@@ -219,6 +220,7 @@ class TFRecordWriter(SetWriter):
 
     name, capabilities = "tfrecords", Capabilities(resume=True, integrity=True, blobs=True)
     extension = "tfrecord"
+    folder = "records"
     options = (
         (False, "entriesPerShard", "1000", "records per shard, 0 for one shard"),
         (False, "maxShardBytes", "100000000", "a shard is closed once it has this size, 0 for never"),
@@ -281,6 +283,7 @@ class TensorWriter(SetWriter):
 
     name, capabilities = "tensor", Capabilities(resume=True, integrity=True, blobs=True)
     extension = "shard"
+    folder = "tensors"
     options = ((False, "rowsPerShard", "100000", "rows per shard, 0 for one shard per task"),)
 
     @staticmethod

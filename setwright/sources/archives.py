@@ -98,6 +98,10 @@ def archive_members(archives: DataFrame) -> DataFrame:
     return unpack(archives).drop("manifest_pos", "manifest_entry")
 
 
+def holds_archive(entries: str = "entries") -> Column:
+    return F.exists(entries, lambda e: e["type"] == schema.ARCHIVE)
+
+
 def expand_archives(
     records: DataFrame,
     assets: DataFrame,
@@ -112,7 +116,7 @@ def expand_archives(
     """
     is_archive = lambda e: e["type"] == schema.ARCHIVE
     keep = [c for c in records.columns if c not in ("entries", "reason")]
-    holds = F.exists("entries", is_archive) & F.col("reason").isNull()
+    holds = holds_archive() & F.col("reason").isNull()
     plain = records.filter(~holds).select(
         *keep, F.lit(0).cast("bigint").alias("member_pos"), "entries", "reason"
     )

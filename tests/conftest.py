@@ -16,6 +16,7 @@ def spark():
 
     session = local_session()
     contract._ship(session)
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     return session
 
 

@@ -95,6 +95,12 @@ def test_every_format_writes_and_verifies(spark, payloads, tmp_path, fmt):
     assert verify_against_feed(read(spark, *GOOD, record(30)), out).first() == (12, 1, 0)
     again = export(read(spark, *GOOD, record(20)), JOB, out, fmt, payloads, mode="resume", batch="1")
     assert again.written.count() == 1
+    assert verify_local(spark, out, fmt).first() == (13, 0)
+
+
+def test_third_run_writes_nothing_and_a_new_one_truncates(spark, payloads, tmp_path):
+    out, fmt = str(tmp_path), "csv"
+    export(read(spark, *GOOD, record(20)), JOB, out, fmt, payloads)
     third = export(read(spark, *GOOD, record(20)), JOB, out, fmt, payloads, mode="resume", batch="2")
     assert third.written.count() == 0
     assert verify_local(spark, out, fmt).first() == (13, 0)
@@ -187,21 +193,18 @@ def test_bad_records_are_refused_and_stop_nothing(spark, payloads, tmp_path, fmt
     assert verify_local(spark, str(tmp_path), fmt).first()["not_found"] == 0
 
 
-@pytest.mark.parametrize("fmt", ["csv", "tfrecords", "jsonl"])
+@pytest.mark.parametrize("fmt", ["csv", "tfrecords"])
 def test_archives_become_records(spark, payloads, tmp_path, fmt):
     out = str(tmp_path)
     given = [record(1), archive_record(1, "http://a/good"), archive_record(2, "http://a/lacks")]
     done = export(read(spark, *given), JOB, out, fmt, payloads)
     assert [r["reason"] for r in done.rejects.collect()] == ["missing_member"]
-    assert done.written.groupBy("api_hash").count().orderBy("count").collect() == [
-        (given[0]["hash"], 1), *sorted([(given[1]["hash"], 3), (given[2]["hash"], 3)]),
-    ] or done.written.count() == 7
+    per_hash = {r["api_hash"]: r["count"] for r in done.written.groupBy("api_hash").count().collect()}
+    assert per_hash == {given[0]["hash"]: 1, given[1]["hash"]: 3, given[2]["hash"]: 3}
     assert verify_local(spark, out, fmt).first() == (7, 0)
     if fmt == "csv":
         for name, data in MEMBERS.items():
             assert open(f"{out}/data/{name[0]}/{name[1]}/{name[2]}/{name}", "rb").read() == data
-    again = export(read(spark, *given), JOB, out, fmt, payloads, mode="resume", batch="1")
-    assert again.written.count() == 0
 
 
 def test_zip_archives_and_equal_member_names(spark):

@@ -23,6 +23,7 @@ def skewed(spark):
 def test_spread_join_is_a_join(skewed, rows, how):
     left, right = skewed
     got = joins.spread_join(left, right, ["k"], how, ["id"], min_rows=100)
+    assert joins.hot_keys(left, ["k"], 100).count() == 2  # the hot key and NULL
     plain = left.join(right, "k", how)
     assert got.columns == plain.columns
     assert rows(got) == rows(plain)
@@ -38,7 +39,7 @@ def test_spread_join_splits_the_hot_key(skewed, spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(per_task) == 8
+    assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_lookup_join_checks_the_size(skewed, rows, monkeypatch):
@@ -61,7 +62,7 @@ def many_partitions(monkeypatch):
 def test_positions_over_many_partitions(spark, many_partitions):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
     got = numbering.row_positions(df, ["k"])
-    assert numbering.in_order(df, ["k"]).select("_part").distinct().count() > 4
+    assert numbering.in_order(df, ["k"]).select("_part").distinct().count() > 2
     assert got.filter("k <> position").count() == 0 and got.count() == 1000
 
 
