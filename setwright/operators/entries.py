@@ -71,9 +71,14 @@ def output_line(entries: Column, fields: Sequence[Field], cell) -> Column:
     return F.get(joined, F.lit(0))
 
 
+def last_with_id(entries: Column, field_id: Column) -> Column:
+    """The last entry with an output id, or NULL."""
+    return F.try_element_at(F.filter(entries, lambda e: e["id"] == field_id), F.lit(-1))
+
+
 def last_of(entries: Column, field: Field) -> Column:
     """The last entry of a field, or NULL."""
-    return F.try_element_at(F.filter(entries, lambda e: e["id"] == field.id), F.lit(-1))
+    return last_with_id(entries, F.lit(field.id))
 
 
 def composite_hash(hashes: Column) -> Column:

@@ -97,3 +97,14 @@ def lookup_join(
     if fits_broadcast(right):
         return left.join(F.broadcast(right), list(on), how)
     return spread_join(left, right, on, how, salt_on or left.columns)
+
+
+def needed_only(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Leave out rows of a wide table whose key nobody asks for, if that costs no shuffle.
+
+    Done below any work on the wide columns: with few keys asked for (a resumed
+    export) most of the table is neither hashed nor moved. With many keys the
+    table is returned as it is, since nearly all of it is needed.
+    """
+    asked = keys.select(*on).distinct()
+    return table.join(F.broadcast(asked), list(on), "left_semi") if fits_broadcast(asked) else table

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from setwright import schema
 from setwright.functions.text import hex_to_bytes
-from setwright.operators.joins import lookup_join, spread_join
+from setwright.operators.joins import spread_join
 from setwright.operators.numbering import dense_ids
 from setwright.session import exists
 
@@ -44,8 +44,7 @@ def with_file_ids(
     names: DataFrame, known_files: DataFrame, seq: list[str], start: int
 ) -> DataFrame:
     """``(file_name, file_id)`` of files not yet known, numbered in first-seen order from ``start``."""
-    fresh = names.join(known_files.select("file_name").distinct(), "file_name", "left_anti")
-    return dense_ids(fresh, "file_name", seq, "file_id", start)
+    return dense_ids(names, "file_name", seq, "file_id", start, known_files)
 
 
 def reconcile(feed: DataFrame, ledger: DataFrame, key: str = "api_hash") -> DataFrame:
@@ -156,9 +155,7 @@ class Ledger:
         """Give ids to the new labels of a batch (from 0 on) and return all known ones."""
         known = self._known("labels", batch)
         top = known.agg(F.coalesce(F.max("category_id"), F.lit(-1)).alias("top")).first()["top"]
-        seen = known.select("label").distinct()
-        fresh = lookup_join(labels, seen, ["label"], "left_anti", seq)
-        self.append("labels", dense_ids(fresh, "label", seq, "category_id", top + 1), batch)
+        self.append("labels", dense_ids(labels, "label", seq, "category_id", top + 1, known), batch)
         return self.table("labels").select("label", "category_id")
 
     def append_hashes(self, rows: DataFrame, batch: str) -> None:

@@ -116,19 +116,27 @@ def running_totals(
 
 
 def dense_ids(
-    df: DataFrame, value: str, seq: Sequence[str], name: str = "category_id", start: int = 0
+    df: DataFrame,
+    value: str,
+    seq: Sequence[str],
+    name: str = "category_id",
+    start: int = 0,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One row per distinct value with ids in order of first appearance.
 
-    The first appearance is a map-side-combined minimum; only distinct values
-    are ordered.
+    The first appearance is a map-side-combined minimum, so a value that most
+    rows share travels as one row per task; only distinct values are compared
+    with the ``known`` ones (which get no new id) and ordered.
     """
-    firsts = staged(
+    firsts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(value)
-        .agg(F.min(F.struct(*seq)).alias("_first")),
-        "firsts",
+        .agg(F.min(F.struct(*seq)).alias("_first"))
     )
+    if known is not None:
+        firsts = firsts.join(known.select(value).distinct(), value, "left_anti")
+    firsts = staged(firsts, "firsts")
     flat = firsts.select(value, *[F.col("_first")[c].alias(f"_s{i}") for i, c in enumerate(seq)])
     keys = [f"_s{i}" for i in range(len(seq))]
     return row_positions(flat, [*keys, value], "_pos").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from setwright.functions.text import blob_path, is_hash_text
 from setwright.operators.entries import is_blob
-from setwright.operators.joins import spread_join
+from setwright.operators.joins import needed_only, spread_join
 from setwright.operators.ledger import Ledger, first_per_key, new_records, verify_feed, verify_records
 from setwright.session import exists, staged
 from setwright.sinks import blobfiles
@@ -91,7 +91,8 @@ def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame)
     )
     inline = blobs.filter(F.col("content").isNotNull()).select("filename", "content")
     wanted = blobs.filter(F.col("content").isNull()).select("filename", "url").distinct()
-    fetched = spread_join(wanted, assets.select("url", "content"), ["url"], "inner", ["filename"])
+    asked = needed_only(assets.select("url", "content"), wanted, ["url"])
+    fetched = spread_join(wanted, asked, ["url"], "inner", ["filename"])
     # The name is the hash of the content, so any copy will do.
     return inline.unionByName(fetched.select("filename", "content")).dropDuplicates(["filename"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from setwright import schema
 from setwright.functions.text import blob_path, float_text, int_text, join_fields, md5_hex
-from setwright.operators.entries import cell_text, is_blob, last_of, output_line
+from setwright.operators.entries import cell_text, is_blob, last_of, last_with_id, output_line
 from setwright.operators.joins import lookup_join
 from setwright.operators.ledger import Ledger
 from setwright.session import staged
@@ -227,12 +227,20 @@ class TFRecordWriter(SetWriter):
     )
 
     def encode(self, records: DataFrame, context: Context) -> DataFrame:
-        entries, fields = F.col("entries"), context.job.fields
+        keep = [c for c in records.columns if c != "entries"]
+        outputs = F.array(
+            *[F.struct(F.lit(f.id).alias("id"), F.lit(f.name).alias("name")) for f in context.job.fields]
+        )
+        # The last entry of each field, found once for the three kinds of features.
+        lasts = records.select(
+            *keep,
+            F.transform(
+                outputs, lambda o: F.struct(o["name"].alias("k"), last_with_id(F.col("entries"), o["id"]).alias("e"))
+            ).alias("_lasts"),
+        )
 
         def features(value, dtype: str) -> Column:
-            pairs = F.array(
-                *[F.struct(F.lit(f.name).alias("k"), value(last_of(entries, f)).cast(dtype).alias("v")) for f in fields]
-            )
+            pairs = F.transform("_lasts", lambda p: F.struct(p["k"].alias("k"), value(p["e"]).cast(dtype).alias("v")))
             return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
 
         # An external blob is kept by its path, an inline one by its bytes.
@@ -247,9 +255,8 @@ class TFRecordWriter(SetWriter):
         floats = features(
             lambda e: F.when((e["type"] == schema.NUMERIC) & (e["dtype"] == "float"), e["float_value"]), "float"
         )
-        keep = [c for c in records.columns if c != "entries"]
         return (
-            records.select(*keep, _examples(blobs, ints, floats).alias("payload"))
+            lasts.select(*keep, _examples(blobs, ints, floats).alias("payload"))
             .withColumn("record_hash", md5_hex("payload"))
             .withColumn("file_name", self.file_name())
         )
@@ -294,16 +301,15 @@ class TensorWriter(SetWriter):
         ).otherwise(number.cast("binary"))
 
     def encode(self, records: DataFrame, context: Context) -> DataFrame:
+        def cell(e: Column) -> Column:
+            shape = [e[k].alias(k) for k in ("dtype", "channels", "width", "height")]
+            return F.struct(*shape, self._packed(e).alias("data"))
+
+        # The array around each entry binds it to a variable, so that it is looked up once.
         fields = context.job.fields
         per_field = F.struct(
             *[
-                F.struct(
-                    last_of(F.col("entries"), f)["dtype"].alias("dtype"),
-                    last_of(F.col("entries"), f)["channels"].alias("channels"),
-                    last_of(F.col("entries"), f)["width"].alias("width"),
-                    last_of(F.col("entries"), f)["height"].alias("height"),
-                    self._packed(last_of(F.col("entries"), f)).alias("data"),
-                ).alias(f.name)
+                F.get(F.transform(F.array(last_of(F.col("entries"), f)), cell), F.lit(0)).alias(f.name)
                 for f in fields
             ]
         )

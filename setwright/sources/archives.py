@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setwright import schema
-from setwright.operators.joins import spread_join
+from setwright.operators.joins import needed_only, spread_join
 from setwright.sources.feed import parse_entry
 from setwright.sources.job import Field
 
@@ -125,9 +125,8 @@ def expand_archives(
         F.filter("entries", lambda e: ~is_archive(e)).alias("_rest"),
         F.posexplode(F.filter("entries", is_archive)).alias("_no", "_archive"),
     ).withColumn("url", F.col("_archive.url"))
-    fetched = spread_join(
-        opened.drop("_archive"), assets.select("url", "content"), ["url"], "left", ["seq", "_no"]
-    )
+    asked = needed_only(assets.select("url", "content"), opened, ["url"])
+    fetched = spread_join(opened.drop("_archive"), asked, ["url"], "left", ["seq", "_no"])
     members = unpack(fetched).filter(
         F.col("error").isNotNull() | F.col("manifest_pos").isNotNull()
     )

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from setwright import schema
 from setwright.functions.tensors import decode_f32, decode_u8
 from setwright.functions.text import base_name
-from setwright.operators.joins import spread_join
+from setwright.operators.joins import needed_only, spread_join
 
 
 def read_asset_files(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +80,7 @@ def attach_payloads(records: DataFrame, assets: DataFrame, keep_content: bool =
         .filter(needs(F.col("_e")))
         .select(*key, "_at", F.col("_e.url").alias("url"))
     )
-    facts = with_digest(assets).select(
+    facts = with_digest(needed_only(assets, wanted, ["url"])).select(
         "url", "digest", "n_bytes", *(["content"] if keep_content else [])
     )
     got = F.struct(
