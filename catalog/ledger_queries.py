@@ -83,7 +83,7 @@ def reconcile_status(spark, sf_dir):
 )
 def verify_local_(spark, sf_dir):
     """Lines written, read back and hashed, against a ledger that lacks every tenth record."""
-    lines = doc_lines(docs(spark, sf_dir))
+    lines = staged(doc_lines(docs(spark, sf_dir)).select("doc_id", "set", "line", "record_hash"), "encoded")
     path = scratch_path(spark, "lines")
     write_lines(lines.select("set", "line"), path)
     rescanned = read_lines(spark, path).select(F.md5("line").alias("record_hash"))

@@ -10,6 +10,7 @@ offset. The only thing that is broadcast has one row per partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,16 +62,27 @@ def _before(ordered: DataFrame, amount: Column, name: str) -> DataFrame:
 def row_positions(
     df: DataFrame, order: Sequence[str], name: str = "position", rows: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in ``order`` over the whole table."""
+    """Add the 0-based position of each row in ``order`` over the whole table.
+
+    Only the ``order`` columns are sorted; wide rows get their position by a join
+    on them (they are unique, as a total order is).
+    """
     rows = df.count() if rows is None else rows
-    if rows <= ROWS_PER_PARTITION:  # one partition's worth, by count
+    keys = df.select(*order)
+    if rows <= ROWS_PER_PARTITION:  # one partition's worth of keys, by count
         place = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
-        return df.select("*", place.alias(name))
-    ordered = in_order(df, order, rows)
-    base = F.broadcast(_before(ordered, F.count(F.lit(1)), "_base"))
-    return ordered.join(base, "_part").select(
-        *df.columns, (F.col("_base") + F.col("_idx")).alias(name)
-    )
+        numbered = keys.select("*", place.alias(name))
+    else:
+        ordered = in_order(keys, order, rows)
+        base = F.broadcast(_before(ordered, F.count(F.lit(1)), "_base"))
+        numbered = ordered.join(base, "_part").select(
+            *order, (F.col("_base") + F.col("_idx")).alias(name)
+        )
+    if set(df.columns) == set(order):
+        return numbered.select(*df.columns, name)
+    renamed = numbered.select(*[F.col(c).alias(f"_by_{c}") for c in order], name)
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(renamed[f"_by_{c}"]) for c in order])
+    return df.join(renamed, same).select(*[df[c] for c in df.columns], renamed[name])
 
 
 def group_positions(

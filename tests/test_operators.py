@@ -64,6 +64,10 @@ def test_positions_over_many_partitions(spark, many_partitions):
     got = numbering.row_positions(df, ["k"])
     assert numbering.in_order(df, ["k"]).select("_part").distinct().count() > 2
     assert got.filter("k <> position").count() == 0 and got.count() == 1000
+    wide = df.select(F.when(F.col("k") > 0, F.col("k")).alias("k"), F.col("k").alias("v"))
+    placed = numbering.row_positions(wide, ["k"])  # the NULL key comes first and keeps its row
+    assert placed.columns == ["k", "v", "position"]
+    assert placed.filter("v <> position").count() == 0 and placed.count() == 1000
 
 
 def test_group_positions_and_totals_with_a_hot_group(spark, many_partitions):
