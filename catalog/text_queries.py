@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import D_SQL, FIELDS, doc_blob, docs, ledger_hashes, query, table, with_entries
+from catalog.registry import D_SQL, FIELDS, docs, ledger_hashes, query, table, with_entries
 from setwright.functions.text import (
     blob_path,
     ends_with,

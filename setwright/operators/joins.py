@@ -8,13 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on; below it no task is overloaded.
+# A key is hot from this many rows on; it is spread so that no task gets many more.
 HOT_ROWS = 5_000_000
 # At most this many keys are spread. Any key with more than a thousandth of all
 # rows is among them, and the other keys are joined as usual.
 HOT_KEYS = 1000
-# Tasks one hot key is spread over.
-HOT_FANOUT = 64
 # A lookup side is broadcast up to these sizes, both checked.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -23,11 +21,16 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame | None:
     """The most frequent keys (NULL among them) with ``min_rows`` rows or more, if any.
 
-    One map-side-combined count over the key columns alone; no more than
+    ``_fan`` is the number of parts of about ``min_rows`` rows each key is split
+    into. One map-side-combined count over the key columns alone; no more than
     ``HOT_KEYS`` keys come to the driver.
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
-    top = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on)
+    top = (
+        counts.orderBy(F.desc("_n"))
+        .limit(HOT_KEYS)
+        .select(*on, F.ceil(F.col("_n") / min_rows).cast("int").alias("_fan"))
+    )
     found = top.collect()
     return rows.sparkSession.createDataFrame(found, top.schema) if found else None
 
@@ -54,21 +57,19 @@ def spread_join(
     hot = hot_keys(left, on, min_rows)
     if hot is None:
         return left.join(right, on, how)
-    flagged = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most HOT_KEYS rows
+    names = {c: f"_hot_{c}" for c in on}
+    keys = hot.select(*[F.col(c).alias(n) for c, n in names.items()], "_fan")
+    keys = F.broadcast(keys)  # at most HOT_KEYS rows
 
-    def with_flag(side: DataFrame) -> DataFrame:
-        names = {c: f"_hot_{c}" for c in on}
-        keys = flagged.select(*[F.col(c).alias(n) for c, n in names.items()], "_hot")
+    def with_fan(side: DataFrame) -> DataFrame:
         same = reduce(lambda a, b: a & b, [side[c].eqNullSafe(keys[n]) for c, n in names.items()])
         return side.join(keys, same, "left").drop(*names.values())
 
-    salt = F.pmod(F.xxhash64(*salt_on), F.lit(HOT_FANOUT)).cast("int")
-    salts = F.sequence(F.lit(0), F.lit(HOT_FANOUT - 1))
-    salted_left = with_flag(left).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-    salted_right = with_flag(right).withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0))))
-    )
-    joined = salted_left.drop("_hot").join(salted_right.drop("_hot"), [*on, "_salt"], how)
+    salt = F.pmod(F.xxhash64(*salt_on), F.coalesce("_fan", F.lit(1))).cast("int")
+    salts = F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)
+    salted_left = with_fan(left).withColumn("_salt", salt).drop("_fan")
+    salted_right = with_fan(right).withColumn("_salt", F.explode(salts)).drop("_fan")
+    joined = salted_left.join(salted_right, [*on, "_salt"], how)
     return joined.drop("_salt")
 
 

@@ -203,8 +203,8 @@ def read_records(stream, check: bool) -> Iterator[list[bytes]]:
         if len(head) < _HEAD:
             raise ValueError("the file ends inside a record")
         size, head_sum = struct.unpack("<QI", head)
-        # The length is checked before it is trusted.
-        if masked_crc32c([head[:8]])[0] != head_sum if check and size > _BATCH_BYTES else False:
+        # A large length is checked before it is trusted; the others with their batch.
+        if check and size > _BATCH_BYTES and masked_crc32c([head[:8]])[0] != head_sum:
             raise ValueError("a record length does not match its checksum")
         body = stream.read(size + _TAIL)
         if len(body) < size + _TAIL:
