@@ -72,3 +72,71 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.wumanber import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+_KEY_SQL = r"""CASE WHEN {host} != '' THEN regexp_replace({host}, '^www\.', '') || regexp_replace({path}, '/+$', '')
+  || CASE WHEN {kept} != '' THEN '?' || {kept} ELSE '' END END"""
+
+
+def _alias_sql(url: str) -> str:
+    host = rf"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = rf"regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+    kept = rf"array_to_string(list_filter(string_split(regexp_extract(coalesce({url}, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda p: p != '' AND NOT starts_with(p, 'utm_')), '&')"
+    return _KEY_SQL.format(host=host, path=path, kept=kept)
+
+
+OP8_SQL = rf"""
+WITH RECURSIVE parsed AS (
+  SELECT page_id, url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+    {_alias_sql('url')} AS page FROM pages),
+rules(action, site, prefix) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT page_id, url, arg_max(site || prefix, length(site || prefix)) AS rule, arg_max(action, length(site || prefix)) AS action
+  FROM parsed JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, prefix) GROUP BY page_id, url),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM pages
+  WHERE contains(lower(html), 'canonical') OR contains(lower(html), 'http-equiv')),
+named AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical["''\s/>]')
+      THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+      ELSE regexp_extract(tag, '(?is)url\s*=\s*["'']?([^"''\s>;]+)', 1) END AS link
+  FROM tags WHERE regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical["''\s/>]')
+     OR regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh["''\s/>]')),
+edges AS (
+  SELECT {_alias_sql('url')} AS a, {_alias_sql('target')} AS b FROM (
+    SELECT url, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN link
+      WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link
+      WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link END AS target
+    FROM named WHERE link != '')),
+both_ways AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
+reach(a, b) AS (
+  SELECT page, page FROM parsed WHERE page IS NOT NULL UNION
+  SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+root AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+judged AS (
+  SELECT parsed.*, rule, action, component FROM parsed LEFT JOIN fits USING (page_id, url) LEFT JOIN root ON page = root.a),
+flags AS (
+  SELECT component, bool_or(action = 'allow') AS ok FROM judged
+  WHERE action IS NOT NULL AND component IS NOT NULL GROUP BY component)
+SELECT page_id, host, path, rule,
+  coalesce(action, CASE WHEN NOT ok THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN flags ON judged.component = flags.component
+"""
+
+
+@query("op8_url_filters", OP8_SQL)
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.urlrules import url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
