@@ -140,3 +140,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.urlrules import url_verdicts
 
     return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.warc import warc_roundtrip
+
+    return warc_roundtrip(table(spark, sf_dir, "pages"))
