@@ -147,3 +147,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.warc import warc_roundtrip
 
     return warc_roundtrip(table(spark, sf_dir, "pages"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.outliers import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
