@@ -154,3 +154,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.outliers import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.spans import dedup_spans
+
+    return dedup_spans(table(spark, sf_dir, "documents"))
