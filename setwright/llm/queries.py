@@ -161,3 +161,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.spans import dedup_spans
 
     return dedup_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
