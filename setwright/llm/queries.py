@@ -168,3 +168,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
