@@ -175,3 +175,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.gru import languages
+
+    return languages(table(spark, sf_dir, "documents"))
