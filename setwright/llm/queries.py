@@ -182,3 +182,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.gru import languages
 
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.unigram import pieces_of, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), pieces_of(tokenizer_file("piece_bpe_32k.model")))
