@@ -231,11 +231,10 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, rule: Threshold) -> DataFram
     return linked.union(_verified(pairs, sets, rule))
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: ``key``, ``n_shingles``, and ``component_id``, the smallest key it is linked with in any number of steps."""
+def _labelled(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """``fp`` and ``component_id`` of every class of the rows' sets (``key``, ``text``)."""
     rule = Threshold(percent)
     most = rule.most(LIGHT_MOST)
-    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     # Where light sets are decided, whole sets are needed.
     seen = _scanned(rows, width, lambda n: n if n <= most else rule.prefix(n)).filter("n > 0")
     one = seen.groupBy("fp").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams"))
@@ -257,8 +256,34 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     roots = staged(linked.join(least, "component").select(F.col("cid").alias("_cid"), "least"), "roots")
     named = classes.select("fp", "rep", "cid").join(roots, F.col("cid") == F.col("_cid"), "left")
-    labels = staged(named.select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id")), "labels")
+    return staged(named.select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id")), "labels")
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row: ``key``, ``n_shingles``, and ``component_id``, the smallest key it is linked with in any number of steps."""
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    labels = _labelled(rows, width, percent)
     again = _scanned(rows, width, None)
     out = again.join(labels, again["fp"] == labels["_fp"], "left")
     own = F.when(F.col("fp").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest key; all columns stay.
+
+    Rows without n-grams are linked with nothing and stay. Rows that repeat key and text stay once.
+    """
+    def mark(frame: DataFrame):
+        """Tells apart rows by key and text."""
+        return F.concat_ws(":", F.coalesce(frame[key].cast("string"), F.lit("null")), F.xxhash64(frame[text].cast("string")).cast("string"))
+
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    labels = _labelled(rows, width, percent)
+    marked = docs.select(F.struct(docs[key].alias("key"), mark(docs).alias("mark")).alias("key"), docs[text].cast("string").alias("text"))
+    again = _scanned(marked, width, None)
+    named = again.join(labels, again["fp"] == labels["_fp"], "left")
+    first = named.filter(F.col("fp").isNull() | F.col("key.key").eqNullSafe(F.col("component_id")))
+    # Of rows with one key and equal n-grams, one text.
+    chosen = first.groupBy("key.key", F.coalesce("fp", F.col("key.mark").cast("binary")).alias("fp")).agg(F.min("key.mark").alias("_mark"))
+    chosen = staged(chosen.select("_mark"), "chosen")
+    return docs.withColumn("_mark", mark(docs)).join(chosen, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
