@@ -131,7 +131,7 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Trees:
     """Boost trees on log loss; splits are looked for in histograms of ``bins`` quantile bins."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         model = Trees(0.0, depth)
         model.base = float(np.log((len(y) * share + 0.5) / (len(y) * (1 - share) + 0.5)))
         return model
