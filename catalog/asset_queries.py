@@ -44,7 +44,7 @@ def payload_join(spark, sf_dir):
     """Hash at the asset, shuffle the hash."""
     a = page_assets(spark, sf_dir)
     facts = assets.with_digest(a.filter(F.col("page_id") % 10 != 1)).select("url", "digest", "n_bytes")
-    joined = assets.join_payload(a.select("page_id", "url"), facts, ["page_id"])
+    joined = assets.join_payload(a.select("page_id", "url"), facts)
     return joined.select("page_id", F.col("n_bytes").alias("bytes"), "digest")
 
 
@@ -55,7 +55,7 @@ def missing_payload(spark, sf_dir):
     there = a.filter(F.col("page_id") % 10 != 1).withColumn(
         "content", F.when(F.col("page_id") % 10 == 2, F.lit(b"")).otherwise(F.col("content"))
     )
-    return assets.missing_payload(a.select("page_id", "url"), there, ["page_id"]).select("page_id")
+    return assets.missing_payload(a.select("page_id", "url"), there).select("page_id")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import D_SQL, FIELDS, PAGE, docs, entry_struct, query, table
 from setwright.functions.text import bytes_to_hex, default_filename, hex_to_bytes, is_hash_text
 from setwright.operators.entries import is_blob, output_cells
-from setwright.operators.numbering import batch_numbers, row_positions
+from setwright.operators.numbering import batch_numbers, group_positions, row_positions, running_totals
 from setwright.session import scratch_path
 from setwright.sources import feed, job
 
@@ -132,6 +132,37 @@ def batch_assign(spark, sf_dir):
     return batch_numbers(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], PAGE)
 
 
+def _grouped_lines(spark, sf_dir):
+    """Line items in groups, the largest of which has no key, with amounts of both signs and halves."""
+    amount = (F.col("l_linenumber") % 5 - 2) * F.lit(0.5).cast("double")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), amount.alias("amount")
+    )
+
+
+LINES_SQL = """L AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag,
+    CAST((l_linenumber % 5 - 2) * 0.5 AS DOUBLE) AS amount FROM lineitem)"""
+
+
+@query(
+    "group_positions_null",
+    f"""WITH {LINES_SQL} SELECT l_orderkey, l_linenumber, flag,
+    row_number() OVER (PARTITION BY flag ORDER BY l_orderkey, l_linenumber) - 1 AS position FROM L""",
+)
+def group_positions_null(spark, sf_dir):
+    lines = _grouped_lines(spark, sf_dir).drop("amount")
+    return group_positions(lines, "flag", ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "running_totals_signed",
+    f"""WITH {LINES_SQL} SELECT l_orderkey, l_linenumber, flag, amount, coalesce(sum(amount) OVER (PARTITION BY flag
+    ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total_before FROM L""",
+)
+def running_totals_signed(spark, sf_dir):
+    return running_totals(_grouped_lines(spark, sf_dir), "flag", ["l_orderkey", "l_linenumber"], "amount")
+
+
 @query(
     "batch_count",
     """SELECT count(*) AS n, CAST(ceil(count(*) / 256.0) AS BIGINT) AS batches FROM documents""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import D_SQL, JOB, SPLITS, docs, ledger_hashes, query, table, with_entries
-from catalog.text_queries import LINE_SQL, doc_lines
+from catalog.text_queries import LINE_SQL, doc_lines, new_doc_lines
 from setwright.operators.joins import lookup_join
 from setwright.operators.ledger import (
     Ledger,
@@ -24,7 +24,7 @@ from setwright.sinks.writers import read_lines, write_lines, writer_stats
 
 @query("resume_new_only", f'WITH {D_SQL} SELECT doc_id, api_hash, "set" FROM N')
 def resume_new_only(spark, sf_dir):
-    fresh = new_records(docs(spark, sf_dir).drop("text"), ledger_hashes(spark, sf_dir), ["seq"])
+    fresh = new_records(docs(spark, sf_dir).drop("text"), ledger_hashes(spark, sf_dir))
     return fresh.select("doc_id", "api_hash", "set")
 
 
@@ -126,7 +126,7 @@ def export_resume(spark, sf_dir):
 def label_encode(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     ids = dense_ids(e, "event_type", ["event_id"])
-    return lookup_join(e, ids, ["event_type"], "left", ["event_id"]).select("event_id", "event_type", "category_id")
+    return lookup_join(e, ids, ["event_type"]).select("event_id", "event_type", "category_id")
 
 
 @query(
@@ -157,7 +157,7 @@ FILES_SQL = f"""{D_SQL}, F AS (SELECT source || '/' || "set" || '.txt' AS file_n
     f"""WITH {FILES_SQL} SELECT file_name, row_number() OVER (ORDER BY f) AS file_id FROM F""",
 )
 def file_ids(spark, sf_dir):
-    fresh = new_records(docs(spark, sf_dir).drop("text"), ledger_hashes(spark, sf_dir), ["seq"])
+    fresh = new_records(docs(spark, sf_dir).drop("text"), ledger_hashes(spark, sf_dir))
     names = fresh.select(F.concat("source", F.lit("/"), "set", F.lit(".txt")).alias("file_name"), "seq")
     known = spark.createDataFrame([], "file_id int, file_name string")
     return with_file_ids(names, known, ["seq"], 1)
@@ -165,9 +165,8 @@ def file_ids(spark, sf_dir):
 
 def _filled_ledger(spark, sf_dir):
     """The lines of new records recorded in a ledger on disk, in two batches."""
-    fresh = new_records(docs(spark, sf_dir), ledger_hashes(spark, sf_dir), ["seq"])
     rows = staged(
-        doc_lines(fresh).select(
+        new_doc_lines(spark, sf_dir).select(
             "seq", "api_hash", "record_hash", F.lit(0).cast("bigint").alias("member_pos"),
             F.concat("source", F.lit("/"), "set", F.lit(".txt")).alias("file_name"),
         ),
@@ -178,7 +177,7 @@ def _filled_ledger(spark, sf_dir):
     first = F.col("seq") <= half.scalar()
     for batch, part in (("0", rows.filter(first)), ("1", rows.filter(~first))):
         files = ledger.register_files(part.select("file_name", "seq"), ["seq"], batch)
-        with_id = lookup_join(part, files, ["file_name"], "left", ["seq"])
+        with_id = lookup_join(part, files, ["file_name"])
         ledger.append_hashes(with_id, batch)
         ledger.append_hashes(with_id, batch)  # a batch that is written again replaces itself
     return ledger

@@ -37,7 +37,7 @@ def image_list(spark, sf_dir):
     d = docs(spark, sf_dir)
     ids = dense_ids(d.select("lang", "doc_id"), "lang", ["doc_id"])
     path = scratch_path(spark, "imagelist")
-    lines = lookup_join(d, ids, ["lang"], "left", ["doc_id"]).select(
+    lines = lookup_join(d, ids, ["lang"]).select(
         "set", F.concat_ws(" ", doc_blob(), F.col("category_id").cast("string")).alias("line")
     )
     write_lines(lines, path)

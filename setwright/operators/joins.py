@@ -1,4 +1,8 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins to lookup tables, and leaving out what nobody asks for.
+
+Hot keys are left to adaptive execution, which splits them in inner, left, semi and anti joins: both
+sides are read from tables or plain scans, so that nothing above the join ties a key to one task.
+"""
 
 from __future__ import annotations
 
@@ -8,104 +12,59 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on; it is spread so that no task gets many more.
-HOT_ROWS = 5_000_000
-# At most this many keys are spread. Any key with more than a thousandth of all
-# rows is among them, and the other keys are joined as usual.
-HOT_KEYS = 1000
-# A lookup side is broadcast up to these sizes, both checked.
+# A lookup side is broadcast up to these sizes, both measured.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Bits that keys are hashed to when a table is cut down to them, and bits in one row of the bit table.
+KEY_BITS = 27
+_ROW_BITS = 15
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame | None:
-    """The most frequent keys (NULL among them) with ``min_rows`` rows or more, if any.
-
-    ``_fan`` is the number of parts of about ``min_rows`` rows each key is split
-    into. One map-side-combined count over the key columns alone; no more than
-    ``HOT_KEYS`` keys come to the driver.
-    """
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
-    top = (
-        counts.orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / min_rows).cast("int").alias("_fan"))
-    )
-    found = top.collect()
-    return rows.sparkSession.createDataFrame(found, top.schema) if found else None
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    salt_on: Sequence[str],
-    min_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join to a side with unique keys, splitting the hot keys of the left side.
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a (staged) table is small enough to broadcast, by rows and by bytes.
 
-    ``how`` is inner, left, left_semi or left_anti. Left rows of a hot key are
-    spread by a hash of ``salt_on`` (columns that tell rows apart), and the one
-    right row of such a key is repeated per salt. Hot keys are looked for first;
-    where there are none, this is the plain join. The left side is read for
-    that, so it should be a scan or a staged table.
+    One combined count over the table; no rows are moved for it.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type {how}")
-    on = list(on)
-    hot = hot_keys(left, on, min_rows)
-    if hot is None:
-        return left.join(right, on, how)
-    names = {c: f"_hot_{c}" for c in on}
-    keys = hot.select(*[F.col(c).alias(n) for c, n in names.items()], "_fan")
-    keys = F.broadcast(keys)  # at most HOT_KEYS rows
-
-    def with_fan(side: DataFrame) -> DataFrame:
-        same = reduce(lambda a, b: a & b, [side[c].eqNullSafe(keys[n]) for c, n in names.items()])
-        return side.join(keys, same, "left").drop(*names.values())
-
-    salt = F.pmod(F.xxhash64(*salt_on), F.coalesce("_fan", F.lit(1))).cast("int")
-    salts = F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)
-    salted_left = with_fan(left).withColumn("_salt", salt).drop("_fan")
-    salted_right = with_fan(right).withColumn("_salt", F.explode(salts)).drop("_fan")
-    joined = salted_left.join(salted_right, [*on, "_salt"], how)
-    return joined.drop("_salt")
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a (staged) table is small enough to broadcast, by rows and by bytes."""
-    probe = df.limit(rows + 1).agg(
+    seen = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b"),
-    )
-    seen = probe.first()
+    ).first()
     return seen["n"] <= rows and seen["b"] <= size
 
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    salt_on: Sequence[str] | None = None,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False) -> DataFrame:
     """Join to a table that is usually small and has unique keys.
 
-    Its size is checked: it is broadcast within the bound and joined by a
-    spread shuffle join beyond it.
+    Its size is measured: it is broadcast within the bound and joined by a shuffle join beyond it.
+    With ``null_safe`` a NULL key meets the NULL key.
     """
-    if fits_broadcast(right):
-        return left.join(F.broadcast(right), list(on), how)
-    return spread_join(left, right, on, how, salt_on or left.columns)
+    side = F.broadcast(right) if fits_broadcast(right) else right
+    if not null_safe:
+        return left.join(side, list(on), how)
+    renamed = side.select(*[F.col(c).alias(f"_on_{c}" if c in on else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"_on_{c}"]) for c in on])
+    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
 
 
 def needed_only(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Leave out rows of a wide table whose key nobody asks for, if that costs no shuffle.
+    """Leave out rows of a wide table whose key nobody asks for, without shuffling the table.
 
-    Done below any work on the wide columns: with few keys asked for (a resumed
-    export) most of the table is neither hashed nor moved. With many keys the
-    table is returned as it is, since nearly all of it is needed.
+    Done below any work on the wide columns: most of the table is then neither hashed nor moved. The
+    keys asked for are hashed into a table of 2 ** 27 bits, 16 MB at the very most however many keys
+    there are, which is broadcast. Rows with another key of the same bit stay, so the join that
+    follows decides; what it needs is never left out.
     """
-    asked = keys.select(*on).distinct()
-    return table.join(F.broadcast(asked), list(on), "left_semi") if fits_broadcast(asked) else table
+    def place(side: DataFrame):
+        return F.pmod(F.xxhash64(*[side[c] for c in on]), F.lit(1 << KEY_BITS))
+
+    bits = (
+        keys.select(*on).select(place(keys).alias("_place"))
+        .groupBy(F.shiftright("_place", _ROW_BITS).alias("_bits_row"))
+        .agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1)).alias("_bits"))
+    )
+    at = place(table).bitwiseAND((1 << _ROW_BITS) - 1)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    asked = (F.shiftright(place(table), _ROW_BITS) == F.col("_bits_row")) & (
+        F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+    )
+    return table.join(F.broadcast(bits), asked, "left_semi")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from setwright import schema
 from setwright.functions.text import hex_to_bytes
-from setwright.operators.joins import spread_join
 from setwright.operators.numbering import dense_ids
 from setwright.session import exists
 
@@ -33,11 +32,11 @@ def first_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return best.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in rows.columns])
 
 
-def new_records(records: DataFrame, ledger_hashes: DataFrame, salt_on: list[str]) -> DataFrame:
+def new_records(records: DataFrame, ledger_hashes: DataFrame) -> DataFrame:
     """Records whose ``api_hash`` (hex) is not in the ledger; done before any payload is read."""
     known = ledger_hashes.select(F.col("api_hash").alias("_hash")).distinct()
     keyed = records.withColumn("_hash", hex_to_bytes("api_hash"))
-    return spread_join(keyed, known, ["_hash"], "left_anti", salt_on).drop("_hash")
+    return keyed.join(known, "_hash", "left_anti").drop("_hash")
 
 
 def with_file_ids(

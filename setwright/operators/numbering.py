@@ -20,22 +20,18 @@ from setwright.session import staged
 
 # monotonically_increasing_id() keeps the partition number above the low 33 bits.
 _SLOT_BITS = 33
-# Below this many rows one partition is enough.
+# Rows that one task sorts.
 ROWS_PER_PARTITION = 1_000_000
 
 
-def _partitions(df: DataFrame, rows: int) -> int:
-    limit = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(limit, -(-rows // ROWS_PER_PARTITION)))
-
-
 def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
     """Stage ``df`` range-partitioned by ``order``, with its slot in ``_part`` and ``_idx``.
 
     ``order`` must be a total order. Since every key is distinct, ranges stay
-    even when a leading column (the set) has one hot value.
+    even when a leading column (the set) has one hot value. The number of
+    ranges follows the number of rows.
     """
-    parts = _partitions(df, df.count() if rows is None else rows)
+    parts = max(1, -(-(df.count() if rows is None else rows) // ROWS_PER_PARTITION))
     slots = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -50,12 +46,12 @@ def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None) -> Da
 
 
 def _before(ordered: DataFrame, amount: Column, name: str) -> DataFrame:
-    """Per partition, the total of ``amount`` over all earlier partitions."""
+    """Per partition, the total of ``amount`` over all earlier partitions; one row per partition."""
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return (
         ordered.groupBy("_part")
         .agg(amount.alias("_amount"))
-        .select("_part", F.coalesce(F.sum("_amount").over(earlier), F.lit(0)).cast("bigint").alias(name))
+        .select("_part", F.coalesce(F.sum("_amount").over(earlier), F.lit(0)).alias(name))
     )
 
 
@@ -67,17 +63,9 @@ def row_positions(
     Only the ``order`` columns are sorted; wide rows get their position by a join
     on them (they are unique, as a total order is).
     """
-    rows = df.count() if rows is None else rows
-    keys = df.select(*order)
-    if rows <= ROWS_PER_PARTITION:  # one partition's worth of keys, by count
-        place = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
-        numbered = keys.select("*", place.alias(name))
-    else:
-        ordered = in_order(keys, order, rows)
-        base = F.broadcast(_before(ordered, F.count(F.lit(1)), "_base"))
-        numbered = ordered.join(base, "_part").select(
-            *order, (F.col("_base") + F.col("_idx")).alias(name)
-        )
+    ordered = in_order(df.select(*order), order, rows)
+    base = F.broadcast(_before(ordered, F.count(F.lit(1)), "_base"))
+    numbered = ordered.join(base, "_part").select(*order, (F.col("_base") + F.col("_idx")).alias(name))
     if set(df.columns) == set(order):
         return numbered.select(*df.columns, name)
     renamed = numbered.select(*[F.col(c).alias(f"_by_{c}") for c in order], name)
@@ -88,14 +76,10 @@ def row_positions(
 def group_positions(
     df: DataFrame, group: str, order: Sequence[str], name: str = "position"
 ) -> DataFrame:
-    """Add the 0-based position of each row within its group, however large the group is."""
-    rows = df.count()
-    if rows <= ROWS_PER_PARTITION:
-        place = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint") - 1
-        return df.select("*", place.alias(name))
-    placed = row_positions(df, [group, *order], "_global", rows)
+    """Add the 0-based position of each row within its group, however large the group is; NULL is a group."""
+    placed = staged(row_positions(df, [group, *order], "_global"), "placed")
     starts = placed.groupBy(group).agg(F.min("_global").alias("_start"))
-    return lookup_join(placed, starts, [group], salt_on=["_global"]).select(
+    return lookup_join(placed, starts, [group], null_safe=True).select(
         *df.columns, (F.col("_global") - F.col("_start")).alias(name)
     )
 
@@ -103,12 +87,8 @@ def group_positions(
 def running_totals(
     df: DataFrame, group: str, order: Sequence[str], amount: str, name: str = "total_before"
 ) -> DataFrame:
-    """Add the sum of ``amount`` over the earlier rows of the same group."""
-    rows = df.count()
-    if rows <= ROWS_PER_PARTITION:
-        earlier = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias(name))
-    ordered = in_order(df, [group, *order], rows)
+    """Add the sum of ``amount`` over the earlier rows of the same group; NULL is a group."""
+    ordered = in_order(df, [group, *order])
     base = F.broadcast(_before(ordered, F.sum(amount), "_base"))
     # Each window group is one range partition, so it is bounded by its size.
     inside = Window.partitionBy("_part").orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,8 +101,9 @@ def running_totals(
         ),
         "running",
     )
-    starts = running.groupBy(group).agg(F.min("_total").alias("_start"))
-    return lookup_join(running, starts, [group], salt_on=["_part", "_idx"]).select(
+    # Amounts may be negative, so the start is the total at the group's first row, not the least one.
+    starts = running.groupBy(group).agg(F.min_by("_total", F.struct("_part", "_idx")).alias("_start"))
+    return lookup_join(running, starts, [group], null_safe=True).select(
         *df.columns, (F.col("_total") - F.col("_start")).alias(name)
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from setwright.functions.text import blob_path, is_hash_text
 from setwright.operators.entries import is_blob
-from setwright.operators.joins import needed_only, spread_join
+from setwright.operators.joins import needed_only
 from setwright.operators.ledger import Ledger, first_per_key, new_records, verify_feed, verify_records
 from setwright.session import exists, staged
 from setwright.sinks import blobfiles
@@ -92,7 +92,7 @@ def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame)
     inline = blobs.filter(F.col("content").isNotNull()).select("filename", "content")
     wanted = blobs.filter(F.col("content").isNull()).select("filename", "url").distinct()
     asked = needed_only(assets.select("url", "content"), wanted, ["url"])
-    fetched = spread_join(wanted, asked, ["url"], "inner", ["filename"])
+    fetched = wanted.join(asked, "url")
     # The name is the hash of the content, so any copy will do.
     return inline.unionByName(fetched.select("filename", "content")).dropDuplicates(["filename"])
 
@@ -136,7 +136,7 @@ def export(
     checked = staged(_checked(records.select(*_RECORD), job), "records")
     bad = checked.filter(F.col("reason").isNotNull())
     good = checked.filter(F.col("reason").isNull())
-    fresh = new_records(good, ledger.hashes(without_batch=batch), ["seq"])
+    fresh = new_records(good, ledger.hashes(without_batch=batch))
     fresh = staged(first_per_key(fresh, "api_hash", "seq"), "fresh")
     ready = _with_payloads(fresh, assets, job, keep_content=not external)
     if external:

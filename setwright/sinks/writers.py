@@ -171,7 +171,7 @@ class ImageListWriter(_LineWriter):
         ids = context.ledger.register_labels(
             fitting.select("label", "seq", "member_pos"), ["seq", "member_pos"], context.batch
         )
-        joined = lookup_join(flat, ids, ["label"], "left", ["seq", "member_pos"])
+        joined = lookup_join(flat, ids, ["label"])
         places = {0: F.col("_path"), 1: F.coalesce(F.col("category_id").cast("string"), F.col("_number"))}
         line = join_fields([places.get(f.id, F.lit("")) for f in context.job.fields])
         helper = ("label", "_number", "_path", "category_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setwright import schema
-from setwright.operators.joins import needed_only, spread_join
+from setwright.operators.joins import needed_only
 from setwright.sources.feed import parse_entry
 from setwright.sources.job import Field
 
@@ -126,7 +126,7 @@ def expand_archives(
         F.posexplode(F.filter("entries", is_archive)).alias("_no", "_archive"),
     ).withColumn("url", F.col("_archive.url"))
     asked = needed_only(assets.select("url", "content"), opened, ["url"])
-    fetched = spread_join(opened.drop("_archive"), asked, ["url"], "left", ["seq", "_no"])
+    fetched = opened.drop("_archive").join(asked, "url", "left")
     members = unpack(fetched).filter(
         F.col("error").isNotNull() | F.col("manifest_pos").isNotNull()
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from setwright import schema
 from setwright.functions.tensors import decode_f32, decode_u8
 from setwright.functions.text import base_name
-from setwright.operators.joins import needed_only, spread_join
+from setwright.operators.joins import needed_only
 
 
 def read_asset_files(spark: SparkSession, path: str) -> DataFrame:
@@ -53,15 +53,15 @@ def with_digest(assets: DataFrame) -> DataFrame:
     )
 
 
-def join_payload(entries: DataFrame, assets: DataFrame, salt_on: list[str]) -> DataFrame:
-    """Left-join assets to rows with ``url``; a URL many rows share is spread."""
-    return spread_join(entries, assets, ["url"], "left", salt_on)
+def join_payload(entries: DataFrame, assets: DataFrame) -> DataFrame:
+    """Left-join assets to rows with ``url``."""
+    return entries.join(assets, "url", "left")
 
 
-def missing_payload(entries: DataFrame, assets: DataFrame, salt_on: list[str]) -> DataFrame:
+def missing_payload(entries: DataFrame, assets: DataFrame) -> DataFrame:
     """Rows whose URL has no bytes, either no asset or an empty one."""
     there = assets.filter(F.octet_length("content") > 0).select("url")
-    return spread_join(entries, there, ["url"], "left_anti", salt_on)
+    return entries.join(there, "url", "left_anti")
 
 
 def attach_payloads(records: DataFrame, assets: DataFrame, keep_content: bool = True) -> DataFrame:
@@ -86,7 +86,7 @@ def attach_payloads(records: DataFrame, assets: DataFrame, keep_content: bool =
         "digest", "n_bytes", *([F.col("content")] if keep_content else [F.lit(None).cast("binary").alias("content")])
     )
     per_record = (
-        join_payload(wanted, facts, [*key, "_at"])
+        join_payload(wanted, facts)
         .groupBy(*key)
         .agg(F.map_from_entries(F.collect_list(F.struct("_at", got.alias("_got")))).alias("_fetched"))
     )

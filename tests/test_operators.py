@@ -19,41 +19,36 @@ def skewed(spark):
     return left, right
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_is_a_join(skewed, rows, how):
-    left, right = skewed
-    got = joins.spread_join(left, right, ["k"], how, ["id"], min_rows=100)
-    assert joins.hot_keys(left, ["k"], 100).count() == 2  # the hot key and NULL
-    plain = left.join(right, "k", how)
-    assert got.columns == plain.columns
-    assert rows(got) == rows(plain)
-
-
-def test_spread_join_splits_the_hot_key(skewed, spark):
-    left, right = skewed
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        got = joins.spread_join(left, right, ["k"], "inner", ["id"], min_rows=100)
-        per_task = got.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def test_lookup_join_checks_the_size(skewed, rows, monkeypatch):
     left, right = skewed
     want = rows(left.join(right, "k", "left"))
-    assert rows(joins.lookup_join(left, right, ["k"], "left", ["id"])) == want
+    assert rows(joins.lookup_join(left, right, ["k"])) == want
     monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    assert rows(joins.lookup_join(left, right, ["k"], "left", ["id"])) == want
+    assert rows(joins.lookup_join(left, right, ["k"])) == want
     monkeypatch.undo()
     assert joins.fits_broadcast(right)
     assert not joins.fits_broadcast(right, rows=10)
     assert not joins.fits_broadcast(right, size=100)
 
 
+def test_lookup_join_of_null(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, k string")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, v int")
+    got = joins.lookup_join(left, right, ["k"], null_safe=True)
+    assert got.columns == ["id", "k", "v"] and rows(got) == [(1, "a", 10), (2, None, 20), (3, "b", None)]
+
+
+@pytest.mark.parametrize("bits", [27, 16])
+def test_needed_only_keeps_what_is_asked_for(spark, rows, monkeypatch, bits):
+    monkeypatch.setattr(joins, "KEY_BITS", bits)
+    wide = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(b"x").alias("content"))
+    keys = spark.range(0, 5000, 50).select(F.concat(F.lit("u"), "id").alias("url")).union(spark.createDataFrame([(None,)], "url string"))
+    kept = joins.needed_only(wide, keys, ["url"])
+    assert kept.columns == wide.columns and 100 <= kept.count() < 500
+    assert kept.join(keys, "url").count() == 100
+    assert "Exchange hashpartitioning(url" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def many_partitions(monkeypatch):
     monkeypatch.setattr(numbering, "ROWS_PER_PARTITION", 100)
@@ -84,6 +79,20 @@ def test_group_positions_and_totals_with_a_hot_group(spark, many_partitions):
     assert got == want
 
 
+def test_null_groups_signs_and_halves(spark, many_partitions):
+    """The same answers over many partitions as a plain loop gives."""
+    data = [(None if i % 3 else f"g{i % 2}", i, (i % 7 - 3) * 0.5) for i in range(900)]
+    df = spark.createDataFrame(data, "g string, k int, b double")
+    seen, total, want = {}, {}, set()
+    for g, k, b in data:
+        want.add((k, seen.get(g, 0), total.get(g, 0.0)))
+        seen[g] = seen.get(g, 0) + 1
+        total[g] = total.get(g, 0.0) + b
+    place = numbering.group_positions(df, "g", ["k"]).select("k", "position")
+    before = numbering.running_totals(df, "g", ["k"], "b").select("k", "total_before")
+    assert {tuple(r) for r in place.join(before, "k").collect()} == want
+
+
 def test_dense_ids_in_order_of_appearance(spark, many_partitions):
     r = random.Random(2)
     labels = [f"l{r.randrange(400)}" for _ in range(2000)]
@@ -96,7 +105,7 @@ def test_first_per_key_and_new_records(spark, rows):
     df = spark.createDataFrame([("ab", 2, "b"), ("ab", 1, "a"), ("cd", 3, "c")], "api_hash string, seq int, v string")
     assert rows(first_per_key(df, "api_hash", "seq")) == [("ab", 1, "a"), ("cd", 3, "c")]
     known = spark.createDataFrame([(bytes.fromhex("cd"),)], "api_hash binary")
-    assert rows(new_records(df, known, ["seq"])) == [("ab", 1, "a"), ("ab", 2, "b")]
+    assert rows(new_records(df, known)) == [("ab", 1, "a"), ("ab", 2, "b")]
 
 
 def test_reconcile_counts_repeats(spark):
