@@ -46,25 +46,33 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
 
 
-def needed_only(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Leave out rows of a wide table whose key nobody asks for, without shuffling the table.
+def mark_needed(table: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """Add a boolean: false only for rows whose key is surely not among ``keys``. Moves no rows.
 
-    Done below any work on the wide columns: most of the table is then neither hashed nor moved. The
-    keys asked for are hashed into a table of 2 ** 27 bits, 16 MB at the very most however many keys
-    there are, which is broadcast. Rows with another key of the same bit stay, so the join that
-    follows decides; what it needs is never left out.
+    The keys are hashed into a table of 2 ** 27 bits, 16 MB at the very most however many keys there
+    are, which is broadcast. A row may be true by another key of the same bit, so true is no answer.
     """
     def place(side: DataFrame):
         return F.pmod(F.xxhash64(*[side[c] for c in on]), F.lit(1 << KEY_BITS))
 
+    in_row = (1 << _ROW_BITS) - 1
     bits = (
-        keys.select(*on).select(place(keys).alias("_place"))
+        keys.select(place(keys).alias("_place"))
         .groupBy(F.shiftright("_place", _ROW_BITS).alias("_bits_row"))
-        .agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1)).alias("_bits"))
-    )
-    at = place(table).bitwiseAND((1 << _ROW_BITS) - 1)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    asked = (F.shiftright(place(table), _ROW_BITS) == F.col("_bits_row")) & (
-        F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+        .agg(F.bitmap_construct_agg(F.col("_place").bitwiseAND(in_row)).alias("_bits"))
     )
-    return table.join(F.broadcast(bits), asked, "left_semi")
+    placed = table.withColumn("_place", place(table))
+    at = F.col("_place").bitwiseAND(in_row)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = placed.join(F.broadcast(bits), F.shiftright("_place", _ROW_BITS) == F.col("_bits_row"), "left")
+    bit = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return met.withColumn(name, bit).drop("_place", "_bits_row", "_bits")
+
+
+def needed_only(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Leave out rows of a wide table whose key nobody asks for, without shuffling the table.
+
+    Done below any work on the wide columns: most of the table is then neither hashed nor moved. Some
+    rows that nobody asks for may stay, so the join that follows decides; none that it needs is left out.
+    """
+    return mark_needed(table, keys, on, "_needed").filter("_needed").drop("_needed")
