@@ -6,6 +6,7 @@ import io
 import json
 import struct
 import tarfile
+import zipfile
 import zlib
 
 import pandas as pd
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog.registry import FIELDS, SET_SQL, entry_struct, query, set_of, table
+from catalog.registry import FIELDS, JOB, SET_SQL, entry_struct, query, set_of, table
 from setwright.functions.text import blob_path, name_matches_content
+from setwright.plans.export import export, verify_local
 from setwright.session import scratch_path, staged
 from setwright.sinks import blobfiles
 from setwright.sinks.writers import blob_routing
@@ -118,14 +120,29 @@ def _pack(pages: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": [grp], "content": [content]})
 
 
-def packed_archives(spark, sf_dir):
+def _pack_with_zip(pages: pd.DataFrame) -> pd.DataFrame:
+    """The same, with a zip as the last member of some archives, which are tars all the same."""
+    packed = _pack(pages)
+    if int(packed["grp"].iloc[0]) % 10 in (0, 2):  # these are not compressed, so they can be added to
+        inner, out = io.BytesIO(), io.BytesIO(packed["content"].iloc[0])
+        with zipfile.ZipFile(inner, "w") as z:
+            z.writestr("a", "b")
+        with tarfile.open(fileobj=out, mode="a:") as t:
+            info = tarfile.TarInfo("last.zip")
+            info.size = len(inner.getvalue())
+            t.addfile(info, io.BytesIO(inner.getvalue()))
+        packed["content"] = [out.getvalue()]
+    return packed
+
+
+def packed_archives(spark, sf_dir, pack=_pack):
     pages = table(spark, sf_dir, "pages").select(
         F.floor(F.col("page_id") / GROUP).alias("grp"),
         "page_id",
         F.concat(F.md5("html"), F.lit(".html")).alias("fname"),
         "html",
     )
-    return pages.groupBy("grp").applyInPandas(_pack, "grp bigint, content binary")
+    return pages.groupBy("grp").applyInPandas(pack, "grp bigint, content binary")
 
 
 ARCHIVE_SQL = "SELECT page_id, page_id // 25 AS grp, md5(html) || '.html' AS fname, html FROM pages"
@@ -160,10 +177,10 @@ def archive_manifest(spark, sf_dir):
     )
 
 
-def archive_records(spark, sf_dir):
+def archive_feed(spark, sf_dir, pack=_pack):
     """One feed record per archive, with a label entry beside it; and the archives as assets."""
     packed = staged(
-        packed_archives(spark, sf_dir).select(
+        packed_archives(spark, sf_dir, pack).select(
             "grp", F.concat(F.lit("http://archives/"), F.col("grp").cast("string")).alias("url"), "content"
         ),
         "archives",
@@ -180,7 +197,31 @@ def archive_records(spark, sf_dir):
         entries.alias("entries"),
         F.lit(None).cast("string").alias("reason"),
     )
-    return archives.expand_archives(records, packed.select("url", "content"), FIELDS)
+    return records, packed.select("url", "content")
+
+
+def archive_records(spark, sf_dir):
+    return archives.expand_archives(*archive_feed(spark, sf_dir), FIELDS)
+
+
+@query(
+    "export_archives",
+    f"""WITH A AS (SELECT * FROM ({ARCHIVE_SQL})), G AS (SELECT DISTINCT grp FROM A)
+    SELECT CASE grp % 10 WHEN 3 THEN 'broken_archive' WHEN 5 THEN 'missing_payload' WHEN 7 THEN 'no_manifest' END AS outcome, count(*) AS n
+    FROM G WHERE grp % 10 IN (3, 5, 7) GROUP BY 1
+    UNION ALL SELECT 'written', count(*) FROM A WHERE grp % 10 NOT IN (3, 5, 7)
+    UNION ALL SELECT 'verified', count(*) FROM A WHERE grp % 10 NOT IN (3, 5, 7)""",
+)
+def export_archives(spark, sf_dir):
+    """Archives through the whole export: every asset listed twice, some lacking, some tars ending in a zip."""
+    records, held = archive_feed(spark, sf_dir, _pack_with_zip)
+    some = held.join(records.filter("grp % 10 <> 5").select(F.concat(F.lit("http://archives/"), F.col("grp").cast("string")).alias("url")), "url").select("url", "content")
+    out = scratch_path(spark, "archives-out")
+    done = export(records.drop("grp"), JOB, out, "jsonl", some.unionByName(some))
+    counted = done.rejects.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    written = done.written.agg(F.lit("written").alias("outcome"), F.count(F.lit(1)).alias("n"))
+    verified = verify_local(spark, out, "jsonl").select(F.lit("verified").alias("outcome"), F.col("found").alias("n"))
+    return counted.unionByName(written).unionByName(verified)
 
 
 @query(

@@ -17,7 +17,7 @@ from setwright.operators.ledger import (
     with_file_ids,
 )
 from setwright.operators.numbering import dense_ids
-from setwright.plans.export import export, repeated, split_report, verify_local
+from setwright.plans.export import export, ledger_path, repeated, split_report, verify_local
 from setwright.session import scratch_path, staged
 from setwright.sinks.writers import read_lines, write_lines, writer_stats
 
@@ -114,6 +114,20 @@ def export_resume(spark, sf_dir):
     return counted(one.written, "first").unionByName(counted(two.written, "resumed")).unionByName(verified)
 
 
+@query(
+    "export_resume_default",
+    f"""WITH {D_SQL} SELECT count(*) AS found, CAST(0 AS BIGINT) AS not_found, count(DISTINCT api_hash) AS recorded FROM D""",
+)
+def export_resume_default(spark, sf_dir):
+    """Two halves exported one after the other without naming batches: both are there."""
+    records = with_entries(docs(spark, sf_dir))
+    out = scratch_path(spark, "export")
+    export(records.filter("doc_id % 2 = 0"), JOB, out, "jsonl")
+    export(records.filter("doc_id % 2 = 1"), JOB, out, "jsonl", mode="resume")
+    recorded = Ledger.open(spark, ledger_path(out)).hashes().agg(F.count_distinct("api_hash").alias("recorded"))
+    return verify_local(spark, out, "jsonl").crossJoin(recorded)  # one row each
+
+
 # --- ids by first appearance ---------------------------------------------------------
 
 

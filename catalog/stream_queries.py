@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.feed_queries import as_pages, doc_json
-from catalog.registry import D_SQL, JOB, docs, query, table
+from catalog.registry import D_SQL, JOB, docs, query, table, with_entries
+from setwright.operators.ledger import Ledger
+from setwright.plans.export import export, ledger_path, verify_local
 from setwright.session import scratch_path
 from setwright.streaming import feed_stream as fs
 
@@ -43,19 +45,38 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(target).select("api_hash")
 
 
+def _stream_documents(spark, d, out: str, fmt: str, **options) -> None:
+    """Land documents as pages and export them with a checkpoint of their own."""
+    pages = as_pages(d.select("doc_id", doc_json().alias("json")), "doc_id")
+    landing, checkpoint = _dirs(spark, "pages")
+    pages.select("body").write.text(landing)
+    stream = fs.page_stream(spark, landing, files_per_batch=4, one_page_per="line")
+    fs.export_stream(stream, JOB, out, fmt, checkpoint, **options)
+
+
+@query(
+    "stream_after_batch",
+    f"""WITH {D_SQL} SELECT count(*) AS found, CAST(0 AS BIGINT) AS not_found, count(DISTINCT api_hash) AS recorded FROM D""",
+)
+def stream_after_batch(spark, sf_dir):
+    """A batch export, then two streams with new checkpoints into the same place: nothing is replaced."""
+    d = docs(spark, sf_dir)
+    out = scratch_path(spark, "mixed")
+    export(with_entries(d.filter("doc_id % 3 = 0")), JOB, out, "jsonl")
+    for part in (1, 2):
+        _stream_documents(spark, d.filter(f"doc_id % 3 = {part}"), out, "jsonl")
+    recorded = Ledger.open(spark, ledger_path(out)).hashes().agg(F.count_distinct("api_hash").alias("recorded"))
+    return verify_local(spark, out, "jsonl").crossJoin(recorded)  # one row each
+
+
 @query(
     "stream_export",
-    f"""WITH {D_SQL} SELECT "set", count(*) AS n, count(DISTINCT '"' || lang || '" ' || CAST(n_chars AS VARCHAR)) AS lines FROM D GROUP BY 1""",
+    f"""WITH {D_SQL} SELECT "set", count(*) AS n, count(DISTINCT lang || ' ' || CAST(n_chars AS VARCHAR) || ' ' || text) AS lines FROM D GROUP BY 1""",
 )
 def stream_export(spark, sf_dir):
     """Pages of documents landed as files and exported page by page as text."""
-    d = docs(spark, sf_dir).withColumn("text", F.lit("-"))
-    pages = as_pages(d.select("doc_id", doc_json().alias("json")), "doc_id")
-    landing, checkpoint = _dirs(spark, "pages")
-    pages.repartition(LANDED_FILES).select("body").write.text(landing)
     out = scratch_path(spark, "streamed")
-    stream = fs.page_stream(spark, landing, files_per_batch=4, one_page_per="line")
-    fs.export_stream(stream, JOB, out, "csv", checkpoint)
+    _stream_documents(spark, docs(spark, sf_dir), out, "csv", escape=True)
     text = spark.read.schema("value string, batch string, set string").option("lineSep", "\n").text(f"{out}/lines")
     return text.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("lines"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 
 from setwright.functions.text import blob_path, is_hash_text
 from setwright.operators.entries import is_blob
-from setwright.operators.joins import needed_only
+from setwright.operators.joins import lookup_join, needed_only
 from setwright.operators.ledger import Ledger, first_per_key, new_records, verify_feed, verify_records
 from setwright.session import exists, staged
 from setwright.sinks import blobfiles
 from setwright.sinks.writers import WRITERS, Context
 from setwright.sources.archives import expand_archives, holds_archive
-from setwright.sources.assets import attach_payloads, name_defect, payload_defect, with_reason
+from setwright.sources.assets import attach_payloads, name_defect, one_per_url, unopened_defect, with_reason
 from setwright.sources.job import Job
 
 
@@ -72,7 +73,7 @@ def _with_payloads(records: DataFrame, assets: DataFrame | None, job: Job, keep_
     """Records with archives opened and payloads attached, or checked if there are no assets."""
     if assets is None:
         placed = records.withColumn("member_pos", F.lit(0).cast("bigint"))
-        return with_reason(placed, payload_defect)
+        return with_reason(placed, unopened_defect)
     return attach_payloads(_opened(records, assets, job, keep_content), assets, keep_content)
 
 
@@ -91,7 +92,7 @@ def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame)
     )
     inline = blobs.filter(F.col("content").isNotNull()).select("filename", "content")
     wanted = blobs.filter(F.col("content").isNull()).select("filename", "url").distinct()
-    asked = needed_only(assets.select("url", "content"), wanted, ["url"])
+    asked = one_per_url(needed_only(assets.select("url", "content"), wanted, ["url"]))
     fetched = wanted.join(asked, "url")
     # The name is the hash of the content, so any copy will do.
     return inline.unionByName(fetched.select("filename", "content")).dropDuplicates(["filename"])
@@ -104,7 +105,7 @@ def export(
     fmt: str,
     assets: DataFrame | None = None,
     mode: str = "new",
-    batch: str = "0",
+    batch: str | None = None,
     name: str | None = None,
     blobs: str = "auto",
     tree: bool = True,
@@ -117,8 +118,10 @@ def export(
     ``entries`` and ``reason``, as ``read_feed`` gives them with a ``seq``.
     Known hashes are dropped before any payload is joined. Records that cannot
     be written come back in ``rejects``; none stops the batch. Repeating a batch
-    replaces its files and its ledger rows.
+    by its name replaces its files and its ledger rows; without a name the batch
+    is a new one and replaces nothing.
     """
+    batch = batch or uuid.uuid4().hex
     writer = WRITERS[fmt.lower()]
     writer.check_options(options)
     if mode == "resume" and not writer.capabilities.resume:
@@ -160,8 +163,7 @@ def export(
     writer.write(accepted, out, batch, options)
     names = accepted.groupBy("file_name").agg(F.min(F.struct("seq", "member_pos")).alias("first"))
     files = ledger.register_files(names, ["first"], batch)
-    # One row per set: bounded by the job document.
-    with_id = accepted.join(F.broadcast(files), "file_name", "left")
+    with_id = lookup_join(accepted, files, ["file_name"])
     ledger.append_hashes(with_id, batch)
     return Exported(
         accepted.select("seq", "set", "api_hash", "member_pos", "record_hash", "file_name"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="setwright-")
     spark.sparkContext.setCheckpointDir(made)
@@ -54,5 +55,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema("value string").text(path)
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise

@@ -6,7 +6,7 @@ import io
 import json
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from setwright import schema
 from setwright.operators.joins import needed_only
+from setwright.sources.assets import one_per_url
 from setwright.sources.feed import parse_entry
 from setwright.sources.job import Field
 
@@ -28,13 +29,22 @@ _ROW = T.StructType(
 )
 
 
-def _members(content: bytes) -> dict[str, bytes]:
-    """All plain files of one archive by name; a repeated name keeps the last."""
-    if zipfile.is_zipfile(io.BytesIO(content)):
+# Leading bytes of a zip; anything else is read as a tar, whatever its members hold.
+_ZIP = (b"PK\x03\x04", b"PK\x05\x06")
+
+
+def _members(content: bytes, wanted: Callable[[int, str], bool]) -> Iterator[tuple[int, str, bytes | None]]:
+    """The plain files of one archive in order, with bytes where they are wanted; one member is held at a time."""
+    if content[:4] in _ZIP:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return {i.filename: z.read(i) for i in z.infolist() if not i.is_dir()}
+            files = (i for i in z.infolist() if not i.is_dir())
+            for at, i in enumerate(files):
+                yield at, i.filename, z.read(i) if wanted(at, i.filename) else None
+        return
     with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-        return {m.name: t.extractfile(m).read() for m in t if m.isfile()}
+        files = (m for m in t if m.isfile())
+        for at, m in enumerate(files):
+            yield at, m.name, t.extractfile(m).read() if wanted(at, m.name) else None
 
 
 def _manifest(body: bytes) -> list[dict]:
@@ -56,12 +66,15 @@ class _UnpackArchive:
         if not content:
             yield None, None, None, None, "missing_payload"
             return
+        content, last, listing = bytes(content), {}, None
         try:
-            members = _members(bytes(content))
+            # The manifest may stand anywhere, so names come first; a repeated name keeps the last.
+            for at, name, body in _members(content, lambda _, n: n == schema.MANIFEST_MEMBER):
+                last[name] = at
+                listing = body if name == schema.MANIFEST_MEMBER else listing
         except Exception:  # a damaged archive is data, not a failure of the job
             yield None, None, None, None, "broken_archive"
             return
-        listing = members.pop(schema.MANIFEST_MEMBER, None)
         entries, problem = [], None
         if listing is None:
             problem = "no_manifest"
@@ -73,16 +86,35 @@ class _UnpackArchive:
         if problem:
             yield None, None, None, None, problem
             return
-        listed = set()
+        last.pop(schema.MANIFEST_MEMBER)
+        places: dict[str, list[int]] = {}
         for pos, entry in enumerate(entries):
             name = entry.get("filename")
-            listed.add(name)
-            found = members.get(name) if isinstance(name, str) else None
-            error = None if found else "missing_member"
-            yield (name if found is not None else None), found, pos, json.dumps(entry), error
-        for name, body in members.items():
-            if name not in listed:
+            if isinstance(name, str) and name in last:
+                places.setdefault(name, []).append(pos)
+            else:
+                yield None, None, pos, json.dumps(entry), "missing_member"
+        damaged = False
+        members = _members(content, lambda at, n: last.get(n) == at)
+        while True:
+            try:
+                _, name, body = next(members)
+            except StopIteration:
+                break
+            except Exception:
+                damaged = True
+                break
+            if body is None:
+                continue
+            del last[name]
+            if name not in places:
                 yield name, body, None, None, None
+            for pos in places.pop(name, ()):
+                yield name, body, pos, json.dumps(entries[pos]), None if body else "missing_member"
+        if damaged:  # what could not be read is refused, entry by entry
+            for name in places:
+                for pos in places[name]:
+                    yield None, None, pos, json.dumps(entries[pos]), "broken_archive"
 
 
 unpack_archive = F.udtf(_UnpackArchive, returnType=_ROW)
@@ -125,7 +157,7 @@ def expand_archives(
         F.filter("entries", lambda e: ~is_archive(e)).alias("_rest"),
         F.posexplode(F.filter("entries", is_archive)).alias("_no", "_archive"),
     ).withColumn("url", F.col("_archive.url"))
-    asked = needed_only(assets.select("url", "content"), opened, ["url"])
+    asked = one_per_url(needed_only(assets.select("url", "content"), opened, ["url"]))
     fetched = opened.drop("_archive").join(asked, "url", "left")
     members = unpack(fetched).filter(
         F.col("error").isNotNull() | F.col("manifest_pos").isNotNull()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from setwright import schema
 from setwright.functions.tensors import decode_f32, decode_u8
 from setwright.functions.text import base_name
-from setwright.operators.joins import needed_only
+from setwright.operators.joins import mark_needed, needed_only
 
 
 def read_asset_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,15 +18,21 @@ def read_asset_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def distinct_assets(assets: DataFrame) -> DataFrame:
-    """One row per URL, keyed by its MD5; of differing copies the smallest digest is kept.
+    """One row per URL, keyed by its MD5; of differing copies the smallest digest is kept."""
+    return one_per_url(assets).select(F.md5("url").alias("url_key"), "url", "content")
 
-    The choice is a map-side-combined minimum, so copies of one URL do not
-    travel to one task.
+
+def one_per_url(assets: DataFrame) -> DataFrame:
+    """``(url, content)`` with each URL once; of differing copies the smallest digest is kept.
+
+    URLs alone are counted first. Bytes of a URL that is listed once stay where they are read; only
+    copies are moved, combined to one before the shuffle.
     """
-    best = assets.groupBy("url").agg(
-        F.min_by("content", F.md5("content")).alias("content")
-    )
-    return best.select(F.md5("url").alias("url_key"), "url", "content")
+    rows = assets.select("url", "content")
+    repeated = rows.groupBy("url").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("url")
+    seen = mark_needed(rows, repeated, ["url"], "_again")
+    copies = seen.filter("_again").groupBy("url").agg(F.min_by("content", F.md5("content")).alias("content"))
+    return seen.filter("NOT _again").select("url", "content").unionByName(copies)
 
 
 def fetch_stats(responses: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def attach_payloads(records: DataFrame, assets: DataFrame, keep_content: bool =
         .filter(needs(F.col("_e")))
         .select(*key, "_at", F.col("_e.url").alias("url"))
     )
-    facts = with_digest(needed_only(assets, wanted, ["url"])).select(
+    facts = with_digest(one_per_url(needed_only(assets, wanted, ["url"]))).select(
         "url", "digest", "n_bytes", *(["content"] if keep_content else [])
     )
     got = F.struct(
@@ -128,6 +134,11 @@ def payload_defect(e: Column) -> Column:
     )
 
 
+def unopened_defect(e: Column) -> Column:
+    """Why an entry cannot be written where there are no assets at all, or NULL."""
+    return F.coalesce(F.when(e["type"] == schema.ARCHIVE, "missing_payload"), payload_defect(e))
+
+
 def name_defect(e: Column) -> Column:
     """Why an external blob may not be written under its name, or NULL."""
     blob = e["type"].isin(*schema.BLOB_TYPES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from setwright.operators.ledger import Ledger, first_per_key
 from setwright.operators.mean import image_mean
 from setwright.plans.export import export, ledger_path
+from setwright.session import exists
 from setwright.sources.feed import read_feed
 from setwright.sources.job import Field, Job
 
@@ -46,15 +48,24 @@ def record_stream(pages: DataFrame, mapping: Sequence[Field], strict: str = "pag
     return read_feed(pages, mapping, strict).withColumn("seq", F.struct("page_file", "pos"))
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to; made with the checkpoint and kept in it."""
+    path = f"{checkpoint.rstrip('/')}/export-run"
+    if not exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()["value"]
+
+
 def export_stream(
     pages: DataFrame, job: Job, out: str, fmt: str, checkpoint: str, assets: DataFrame | None = None, **options
 ) -> StreamingQuery:
-    """Export each micro-batch as the batch of its id.
+    """Export each micro-batch as a batch of its own.
 
-    A micro-batch that is run again replaces its own files and ledger rows, so
-    a restart neither loses nor doubles records.
+    The batch is named by the checkpoint's run id and the micro-batch, so a micro-batch that is run again replaces
+    its own files and ledger rows, and no other run's: a restart neither loses nor doubles records.
     """
     spark = pages.sparkSession
+    run = run_id(spark, checkpoint)
     try:
         Ledger.open(spark, ledger_path(out))
     except FileNotFoundError:
@@ -62,7 +73,7 @@ def export_stream(
 
     def write(records: DataFrame, batch_id: int) -> None:
         if not records.isEmpty():
-            export(records, job, out, fmt, assets, mode="resume", batch=str(batch_id), **options)
+            export(records, job, out, fmt, assets, mode="resume", batch=f"{run}-{batch_id}", **options)
 
     return run_available(record_stream(pages, job.fields), write, checkpoint)
 

@@ -290,3 +290,40 @@ def test_asset_files_and_copies(spark, tmp_path):
     copies = spark.createDataFrame([("u", b"1"), ("u", b"2"), ("v", b"3")], "url string, content binary")
     got = {r["url"]: bytes(r["content"]) for r in assets.distinct_assets(copies).collect()}
     assert got == {"u": min((b"1", b"2"), key=md5), "v": b"3"}
+
+
+def test_resume_without_a_batch_name_adds(spark, payloads, tmp_path):
+    out = str(tmp_path)
+    export(read(spark, *GOOD[:5]), JOB, out, "jsonl", payloads)
+    export(read(spark, *GOOD[5:]), JOB, out, "jsonl", payloads, mode="resume")
+    assert verify_local(spark, out, "jsonl").first() == (12, 0)
+    assert Ledger.open(spark, ledger_path(out)).hashes().count() == 12
+
+
+def test_assets_listed_twice(spark, payloads, tmp_path):
+    twice = payloads.unionByName(payloads).unionByName(spark.createDataFrame([("http://h/3", body(3) + b"!")], "url string, content binary"))
+    boxed = archive_record(1, "http://a/good")
+    for fmt in ("jsonl", "tfrecords"):
+        done = export(read(spark, *[r for i, r in enumerate(GOOD) if i != 3], boxed), JOB, str(tmp_path / fmt), fmt, twice)
+        assert (done.written.count(), done.rejects.count()) == (14, 0)
+
+
+def test_archives_without_assets_are_refused(spark, tmp_path):
+    done = export(read(spark, archive_record(1, "http://a/good")), JOB, str(tmp_path), "jsonl")
+    assert done.written.count() == 0
+    assert [r["reason"] for r in done.rejects.collect()] == ["missing_payload"]
+
+
+def test_a_tar_that_ends_in_a_zip_is_a_tar(spark):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("x", "y")
+    content = tar({**MEMBERS, "file_id.diz": manifest(*MEMBERS), "last.zip": inner.getvalue()}, "w")
+    got = archives.unpack(spark.createDataFrame([(content,)], "content binary")).collect()
+    assert {r["member"] for r in got} == {*MEMBERS, "last.zip"} and not any(r["error"] for r in got)
+
+
+def test_a_damaged_archive_is_refused(spark):
+    whole = tar({"file_id.diz": manifest("a", "b"), "a": b"1" * 5000, "b": bytes(range(256)) * 20})
+    got = archives.unpack(spark.createDataFrame([(whole[: len(whole) * 2 // 3],)], "content binary")).collect()
+    assert [r["error"] for r in got] == ["broken_archive"]

@@ -37,6 +37,16 @@ def test_stream_export_over_a_restart(spark, tmp_path):
     assert FIELDS == JOB.fields
 
 
+def test_streams_and_batches_into_one_place(spark, tmp_path):
+    """New checkpoints and batches before them replace nothing."""
+    out = str(tmp_path / "out")
+    for n, name in enumerate("ab"):
+        land(tmp_path / f"in{name}", "x.json", scalar(2 * n + 1), scalar(2 * n + 2))
+        pages = fs.page_stream(spark, str(tmp_path / f"in{name}"))
+        fs.export_stream(pages, JOB, out, "jsonl", str(tmp_path / f"ck{name}"))
+    assert verify_local(spark, out, "jsonl").first() == (4, 0)
+
+
 def test_dedupe_over_batches_and_restart(spark, tmp_path, rows):
     landing, target, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     rows_of = lambda lo, hi: spark.range(lo, hi, 1, 2).select((F.col("id") % 30).alias("k"), "id")
