@@ -111,6 +111,21 @@ def feed_parse(spark, sf_dir):
     )
 
 
+@query(
+    "feed_parse_repeated_key",
+    f"""WITH {D_SQL} SELECT api_hash, "set", lang, n_chars FROM D""",
+)
+def feed_parse_repeated_key(spark, sf_dir):
+    """Pages whose records and entries name a key twice: the last value counts, and nothing is refused."""
+    json = F.regexp_replace(doc_json(), r'"(value|hash)":', r'"$1":"other","$1":')
+    pages = as_pages(docs(spark, sf_dir).select("doc_id", json.alias("json")), "doc_id")
+    records = feed.accepted(feed.read_feed(pages, FIELDS))
+    e = F.col("entries")
+    return records.select(
+        "api_hash", "set", e[0]["string_value"].alias("lang"), e[1]["int_value"].cast("bigint").alias("n_chars")
+    )
+
+
 @query(
     "feed_parse_props",
     """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(len(json_keys(props)) AS BIGINT) AS members FROM events""",

@@ -1,7 +1,8 @@
 """The record feed: pages of JSON records to typed rows, bad ones kept with a reason.
 
-A page is parsed once to a VARIANT; everything after that reads members of it
-inside the row. No step shuffles.
+A page is split into the texts of its records, each of which is parsed once to a
+VARIANT; everything after that reads members of it inside the row. No step
+shuffles. Of a repeated key the last value counts.
 """
 
 from __future__ import annotations
@@ -71,28 +72,51 @@ def _float(members: Column, key: str) -> Column:
     )
 
 
+# A record that is an object but too large to be parsed; it fails itself only.
+_UNREADABLE = "unreadable_record"
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
+
 def _checked_pages(pages: DataFrame) -> DataFrame:
-    """Parse each page once; keep its records' members and what is wrong with them."""
+    """Parse each page's records once; keep their members and what is wrong with them.
+
+    A record, not a page, has to fit a VARIANT (20 million characters a value), however large its page is.
+    """
+    # Read when a plan is optimized, so it stays set.
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     keep = [c for c in pages.columns if c != "body"]
+    texts = lambda c: F.from_json(c, "array<string>", _ANY_LENGTH)
     # One more pair of brackets shows text after the array, which a parser drops.
-    outer = _array(F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]"))))
-    elements = F.when(F.size("_outer") == 1, _array(F.get("_outer", F.lit(0))))
+    bracketed = F.concat(F.lit("["), F.col("body"), F.lit("]"))
+    outer = F.when(F.col("body").rlike(r"^\s*\["), texts(bracketed))
+    elements = F.when(F.size("_outer") == 1, texts(F.get("_outer", F.lit(0))))
+
+    def read(text: Column) -> Column:
+        members = _object(F.try_parse_json(text))
+        return F.struct(members.alias("m"), F.coalesce(text.startswith("{"), F.lit(False)).alias("o"))
 
-    def defect(members: Column) -> Column:
+    def defect(record: Column) -> Column:
         allowed = F.array(*map(F.lit, schema.RECORD_KEYS))
-        return F.when(members.isNull(), "not_an_object").when(
-            F.size(F.array_except(F.map_keys(members), allowed)) > 0, "unknown_key"
+        members = record["m"]
+        return (
+            F.when(members.isNull() & record["o"], _UNREADABLE)
+            .when(members.isNull(), "not_an_object")
+            .when(F.size(F.array_except(F.map_keys(members), allowed)) > 0, "unknown_key")
         )
 
     return (
         pages.select(*keep, outer.alias("_outer"))
         .select(*keep, elements.alias("_elements"))
-        .select(*keep, F.transform("_elements", lambda e: _object(e)).alias("_members"))
-        .select(*keep, "_members", F.transform("_members", lambda m: defect(m)).alias("_defects"))
+        .select(*keep, F.transform("_elements", lambda e: read(e)).alias("_read"))
+        .select(
+            *keep,
+            F.transform("_read", lambda r: r["m"]).alias("_members"),
+            F.transform("_read", lambda r: defect(r)).alias("_defects"),
+        )
         .withColumn(
             "_page_defect",
             F.when(F.col("_members").isNull(), "not_an_array").otherwise(
-                F.get(F.filter("_defects", lambda d: d.isNotNull()), F.lit(0))
+                F.get(F.filter("_defects", lambda d: d != _UNREADABLE), F.lit(0))
             ),
         )
     )
@@ -131,7 +155,7 @@ def parse_records(pages: DataFrame, strict: str = "page") -> DataFrame:
         _text(F.col("_r._members"), "set").alias("set"),
         _text(F.col("_r._members"), "hash").alias("api_hash"),
         _array(F.try_element_at(F.col("_r._members"), F.lit("data"))).alias("data"),
-        (F.col("_page_defect") if strict == "page" else own).alias("reason"),
+        (F.coalesce("_page_defect", own) if strict == "page" else own).alias("reason"),
     )
 
 

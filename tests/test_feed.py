@@ -134,3 +134,18 @@ def test_page_plan(spark):
     assert [p["url"] for p in row["p"]] == [f"f?n=256&o={o}&i=1" for o in (0, 256, 512)]
     (none,) = spark.range(1).select(feed.page_plan(F.lit(0), 256, F.lit("x"), F.lit(0)).alias("p")).collect()
     assert none["p"] == []
+
+
+def test_a_repeated_key_is_read(spark):
+    text = '[{"set":"a","set":"train","hash":"h","data":[{"type":"raw","type":"string","id":1,"value":"x","value":"y"}]},{"set":"test","hash":"i","data":[]}]'
+    got = feed.read_feed(spark.createDataFrame([(0, text)], "page int, body string"), FIELDS).orderBy("pos").collect()
+    assert [(r["set"], r["reason"]) for r in got] == [("train", None), ("test", None)]
+    assert got[0]["entries"][0]["string_value"] == "y"
+
+
+def test_a_value_too_large_refuses_its_own_record_only(spark):
+    record = lambda value: F.concat(F.lit('{"set":"train","hash":"h","data":[{"type":"string","id":1,"value":"'), value, F.lit('"}]}'))
+    body = F.concat(F.lit("["), record(F.lit("a")), F.lit(","), record(F.repeat(F.lit("x"), F.lit(21_000_000))), F.lit(","), record(F.lit("b")), F.lit("]"))
+    pages = spark.range(1).select(F.col("id").alias("page"), body.alias("body"))
+    got = feed.read_feed(pages, FIELDS).select("pos", "reason", F.get("entries", F.lit(0))["string_value"].alias("v")).orderBy("pos").collect()
+    assert [(r["reason"], r["v"]) for r in got] == [(None, "a"), ("unreadable_record", None), (None, "b")]
