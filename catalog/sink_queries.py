@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import D_SQL, SET_SQL, doc_blob, docs, entry_struct, query, set_of, table
+from catalog.registry import D_SQL, FIELDS, JOB, SET_SQL, SPLITS, docs, entry_struct, query, set_of, table, with_entries
 from catalog.text_queries import LINE_SQL, doc_lines
 from setwright.functions.tensors import decode_f32, encode_f32
-from setwright.operators.joins import lookup_join
-from setwright.operators.numbering import dense_ids, group_positions, row_positions, running_totals
+from setwright.operators.numbering import group_positions, row_positions, running_totals
+from setwright.plans.export import export
 from setwright.session import scratch_path
 from setwright.sinks import tfrecord
 from setwright.sinks.writers import image_list_defect, read_lines, shard_index, write_lines
+from setwright.sources.job import Job
 
 X_SET = SET_SQL.format(k="vec_id")
 
@@ -34,14 +35,11 @@ CAT_SQL = """FS AS (SELECT lang, min(doc_id) AS f FROM documents GROUP BY 1), CT
     f"""WITH {D_SQL}, {CAT_SQL} SELECT "set", blob || ' ' || CAST(cat AS VARCHAR) AS line FROM B JOIN CT USING (lang)""",
 )
 def image_list(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    ids = dense_ids(d.select("lang", "doc_id"), "lang", ["doc_id"])
-    path = scratch_path(spark, "imagelist")
-    lines = lookup_join(d, ids, ["lang"]).select(
-        "set", F.concat_ws(" ", doc_blob(), F.col("category_id").cast("string")).alias("line")
-    )
-    write_lines(lines, path)
-    return read_lines(spark, path)
+    """Documents exported as an image list; the root is taken off the paths."""
+    out = scratch_path(spark, "imagelist")
+    export(with_entries(docs(spark, sf_dir)), Job(0, "documents", FIELDS[:2], SPLITS), out, "imagelist")
+    text = spark.read.schema("value string, batch string, set string").option("lineSep", "\n").text(f"{out}/lines")
+    return text.select("set", F.replace("value", F.lit(f"{out}/"), F.lit("")).alias("line"))
 
 
 @query(
@@ -117,13 +115,25 @@ def tfrecord_shards(spark, sf_dir):
     f"""WITH {D_SQL} SELECT "set", doc_id, lang, n_chars, md5(text) AS digest FROM D""",
 )
 def jsonl_roundtrip(spark, sf_dir):
+    """Documents exported as JSON lines, their text among the entries, and read back."""
     d = docs(spark, sf_dir)
-    path = scratch_path(spark, "jsonl")
-    write_lines(d.select("set", F.to_json(F.struct("doc_id", "lang", "n_chars", "text")).alias("line")), path)
-    back = read_lines(spark, path).select(
-        "set", F.from_json("line", "doc_id bigint, lang string, n_chars bigint, text string").alias("r")
+    entries = F.array(
+        entry_struct(0, "numeric", dtype=F.lit("int"), int_value=F.col("doc_id").cast("int")),
+        entry_struct(1, "string", string_value=F.col("lang")),
+        entry_struct(2, "numeric", dtype=F.lit("int"), int_value=F.col("n_chars")),
+        entry_struct(3, "string", string_value=F.col("text")),
+    )
+    out = scratch_path(spark, "jsonl")
+    export(d.withColumn("entries", entries).withColumn("reason", F.lit(None).cast("string")), JOB, out, "jsonl")
+    text = spark.read.schema("value string, batch string, set string").option("lineSep", "\n").text(f"{out}/lines")
+    e = F.from_json("value", "entries array<struct<int_value: bigint, string_value: string>>")["entries"]
+    return text.select("set", e.alias("e")).select(
+        "set",
+        F.col("e")[0]["int_value"].alias("doc_id"),
+        F.col("e")[1]["string_value"].alias("lang"),
+        F.col("e")[2]["int_value"].alias("n_chars"),
+        F.md5(F.col("e")[3]["string_value"]).alias("digest"),
     )
-    return back.select("set", "r.doc_id", "r.lang", "r.n_chars", F.md5("r.text").alias("digest"))
 
 
 SHARD_SQL = f"""S AS (SELECT {X_SET} AS "set", (row_number() OVER (ORDER BY vec_id) - 1) // 256 AS shard, embedding FROM embeddings)"""
@@ -151,12 +161,23 @@ def tensor_shards(spark, sf_dir):
     count(DISTINCT embedding) AS hashes FROM S GROUP BY 1""",
 )
 def tensor_roundtrip(spark, sf_dir):
-    """Shards read back; a row's hash is the MD5 of its packed bytes."""
-    back = _written_tensors(spark, sf_dir)
+    """Tensors exported as shards, with a label beside each, and read back as numbers."""
+    x = _tensors(spark, sf_dir).select("vec_id", "set", "label", encode_f32("embedding").alias("bytes"))
+    tensor = entry_struct(0, "raw", dtype=F.lit("float"), content=F.col("bytes"), digest=F.md5("bytes"), n_bytes=F.octet_length("bytes"))
+    records = x.select(
+        F.col("vec_id").alias("seq"),
+        "set",
+        F.md5(F.col("vec_id").cast("string")).alias("api_hash"),
+        F.array(tensor, entry_struct(2, "numeric", dtype=F.lit("int"), int_value=F.col("label"))).alias("entries"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    out = scratch_path(spark, "tensors-out")
+    export(records, JOB, out, "tensor", rowsPerShard=256)
+    back = spark.read.parquet(f"{out}/tensors").withColumn("v", decode_f32("source_file.data"))
     per_row = back.select(
         "set",
-        F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("s"),
-        F.md5(encode_f32("embedding")).alias("h"),
+        F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("s"),
+        F.md5("source_file.data").alias("h"),
     )
     return per_row.groupBy("set").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 4).alias("total"), F.count_distinct("h").alias("hashes")

@@ -283,9 +283,9 @@ class TFRecordWriter(SetWriter):
 
 
 class TensorWriter(SetWriter):
-    """Parquet shards: per output field the bytes or the value, fixed-width numbers as float32.
+    """Parquet shards: per output field its shape, and the bytes of a blob or string or the number itself.
 
-    The record hash is the MD5 of each field's bytes, one after the other.
+    The record hash is the MD5 of each field's value, one after the other; of a number, of its text.
     """
 
     name, capabilities = "tensor", Capabilities(resume=True, integrity=True, blobs=True)
@@ -293,17 +293,17 @@ class TensorWriter(SetWriter):
     folder = "tensors"
     options = ((False, "rowsPerShard", "100000", "rows per shard, 0 for one shard per task"),)
 
-    @staticmethod
-    def _packed(e: Column) -> Column:
-        number = F.coalesce(e["int_value"].cast("string"), float_text(e["float_value"]))
-        return F.when(is_blob(e), e["content"]).when(
-            e["type"] == schema.STRING, e["string_value"].cast("binary")
-        ).otherwise(number.cast("binary"))
-
     def encode(self, records: DataFrame, context: Context) -> DataFrame:
         def cell(e: Column) -> Column:
             shape = [e[k].alias(k) for k in ("dtype", "channels", "width", "height")]
-            return F.struct(*shape, self._packed(e).alias("data"))
+            data = F.when(is_blob(e), e["content"]).when(e["type"] == schema.STRING, e["string_value"].cast("binary"))
+            number = e["type"] == schema.NUMERIC
+            return F.struct(
+                *shape,
+                data.alias("data"),
+                F.when(number & (e["dtype"] == "int"), e["int_value"]).alias("whole"),
+                F.when(number & (e["dtype"] == "float"), e["float_value"]).alias("fraction"),
+            )
 
         # The array around each entry binds it to a variable, so that it is looked up once.
         fields = context.job.fields
@@ -322,9 +322,11 @@ class TensorWriter(SetWriter):
 
     @staticmethod
     def _hash(payload: str, names: list[str]) -> Column:
-        return F.concat(
-            *[F.coalesce(F.md5(F.col(payload)[n]["data"]), F.lit("")) for n in names]
-        )
+        def one(cell: Column) -> Column:
+            text = F.coalesce(cell["whole"].cast("string"), float_text(cell["fraction"]))
+            return F.coalesce(F.md5(cell["data"]), F.md5(text.cast("binary")), F.lit(""))
+
+        return F.concat(*[one(F.col(payload)[n]) for n in names])
 
     def write(self, encoded: DataFrame, root: str, batch: str, options: dict) -> None:
         (
