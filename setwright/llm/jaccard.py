@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from setwright.llm.components import connected_components
 from setwright.llm.textarrays import SPACED, Words, flat, mixed, run_hashes, slices
+from setwright.operators.joins import mark_needed, needed_only
 from setwright.session import staged
 
 #: No set of more n-grams is light, whatever the cost.
@@ -67,7 +68,7 @@ class Threshold:
         return n * 100 // self.percent
 
     def share(self, n: int) -> int:
-        return max(1, n // 25)
+        return max(1, n // 12)
 
     def prefix(self, n: int) -> int:
         """How many first n-grams of a linked pair (in any fixed order) share ``share`` at least."""
@@ -169,11 +170,12 @@ def _survivors(classes: DataFrame, rule: Threshold, light: int) -> DataFrame:
     heavy = classes.filter(F.col("n") > light)
     grams = heavy.select("cid", F.explode("grams").alias("gram"))
     shared = staged(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram"), "shared_grams")
-    counts = grams.join(shared, "gram").groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
+    # Most n-grams are nobody else's and need not move.
+    counts = needed_only(grams, shared, ["gram"]).join(shared, "gram").groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
     least = F.ceil(rule.percent * F.col("n") / 100)
     # The partner may be smaller, and then fewer are sure to be shared.
-    sure = F.greatest(F.lit(1), F.floor((least - 1) / 25))
-    return staged(heavy.drop("grams", "fp").join(counts, "cid").filter(F.col("met") >= sure).select("cid", "rep", "n"), "survivors")
+    sure = F.greatest(F.lit(1), F.floor(least / 12))
+    return staged(heavy.drop("grams").join(counts, "cid").filter(F.col("met") >= sure).select("cid", "fp", "rep", "n"), "survivors")
 
 
 def _lists(sets: DataFrame, rule: Threshold) -> DataFrame:
@@ -181,7 +183,7 @@ def _lists(sets: DataFrame, rule: Threshold) -> DataFrame:
     grams = sets.select("cid", "n", F.explode("grams").alias("gram"))
     common = staged(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common_grams")
     # Bounded by the number of n-grams of the document.
-    shared = grams.join(common, "gram").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "gram")).alias("shared"))
+    shared = needed_only(grams, common, ["gram"]).join(common, "gram").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "gram")).alias("shared"))
     least = F.ceil(rule.percent * F.col("n") / 100).cast("int")
     live = shared.filter(F.size("shared") >= least).withColumn("own", F.col("n") - F.size("shared"))
     # The first of n - least + 1, less those of its own, which are the rarest of all.
@@ -245,12 +247,15 @@ def _labelled(rows: DataFrame, width: int, percent: int) -> DataFrame:
     light = rule.boundary({r[0]: r[1] for r in sizes})
     links = _light_links(classes, rule, light)
     survivors = _survivors(classes, rule, light)
-    asked = survivors.select("rep").distinct()
-    some = rows.join(asked, rows["key"].eqNullSafe(asked["rep"]), "left_semi")
+    # Texts stay where they are read; the prints decide which of the sets are asked for.
+    some = needed_only(rows, survivors.select(F.col("rep").alias("key")), ["key"])
     whole = _scanned(some, width, lambda n: n).drop("key", "n")
-    ids = classes.select("cid", "fp", "n").join(survivors.select("cid"), "cid")
-    sets = staged(whole.join(ids, "fp").groupBy("cid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "whole_sets")
-    links = links.union(_heavy_links(_lists(sets, rule), sets, rule))
+    met = needed_only(whole, survivors, ["fp"]).join(survivors, "fp")
+    sets = met.groupBy("fp").agg(F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    sets = staged(sets.drop("fp"), "whole_sets")
+    lists = _lists(sets, rule)
+    live = sets.join(lists.select("cid").distinct(), "cid", "left_semi")
+    links = links.union(_heavy_links(lists, live, rule))
     found = connected_components(links)
     linked = staged(found.join(classes.select("cid", "rep"), found["node"] == F.col("cid")).select("cid", "component", "rep"), "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
@@ -286,4 +291,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     # Of rows with one key and equal n-grams, one text.
     chosen = first.groupBy("key.key", F.coalesce("fp", F.col("key.mark").cast("binary")).alias("fp")).agg(F.min("key.mark").alias("_mark"))
     chosen = staged(chosen.select("_mark"), "chosen")
-    return docs.withColumn("_mark", mark(docs)).join(chosen, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    # Texts of rows that are chosen and do not repeat, most of them, stay where they are read.
+    counts = again.groupBy(F.col("key.mark").alias("_mark")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = chosen.withColumn("_chosen", F.lit(True))
+    doubtful = staged(counts.join(kept, "_mark", "left").filter("_chosen IS NULL OR _rows > 1").select("_mark"), "doubtful")
+    seen = mark_needed(docs.withColumn("_mark", mark(docs)), doubtful, ["_mark"], "_doubtful")
+    sure = seen.filter("NOT _doubtful").drop("_mark", "_doubtful")
+    rest = seen.filter("_doubtful").drop("_doubtful").join(chosen, "_mark", "left_semi").dropDuplicates(["_mark"])
+    return sure.unionByName(rest.drop("_mark"))
