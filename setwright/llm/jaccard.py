@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setwright.llm.components import connected_components
-from setwright.llm.textarrays import SPACED, Words, flat, mixed, run_hashes, slices
+from setwright.llm.textarrays import SPACED, Words, flat, mixed, run_hashes, slices, small_batches
 from setwright.operators.joins import mark_needed, needed_only
 from setwright.session import staged
 
@@ -133,7 +133,7 @@ def _scanned(docs: DataFrame, width: int, take) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "n", "grams"][: len(columns)])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, fp binary, n int" + (", grams array<bigint>" if take else ""))
+    return small_batches(docs).mapInArrow(run, f"key {kind}, fp binary, n int" + (", grams array<bigint>" if take else ""))
 
 
 def _light_links(classes: DataFrame, rule: Threshold, light: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _survivors(classes: DataFrame, rule: Threshold, light: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, rule: Threshold) -> DataFrame:
-    """Inverted lists ``gram, cid, n, own``: each set's rarest n-grams that others have too."""
+    """Inverted lists ``gram, cid, n, own, place``: each set's rarest n-grams that others have too, rarest first."""
     grams = sets.select("cid", "n", F.explode("grams").alias("gram"))
     common = staged(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common_grams")
     # Bounded by the number of n-grams of the document.
@@ -188,13 +188,18 @@ def _lists(sets: DataFrame, rule: Threshold) -> DataFrame:
     live = shared.filter(F.size("shared") >= least).withColumn("own", F.col("n") - F.size("shared"))
     # The first of n - least + 1, less those of its own, which are the rarest of all.
     first = F.slice(F.sort_array("shared"), F.lit(1), F.col("n") - least + 1 - F.col("own"))
-    return staged(live.select("cid", "n", "own", F.explode(first).alias("g")).select("cid", "n", "own", "g.gram"), "inverted_lists")
+    listed = live.select("cid", "n", "own", F.posexplode(first).alias("at", "g"))
+    return staged(listed.select("cid", "n", "own", (F.col("own") + F.col("at")).alias("place"), "g.gram"), "inverted_lists")
 
 
 def _possible(x: str, y: str, rule: Threshold):
-    """Whether sizes and n-grams of their own leave two sets enough to share."""
+    """Whether two sets have enough n-grams left to share, if the one they meet in is their first.
+
+    In the common order (those of their own come first) nothing before the first shared n-gram is shared. A
+    linked pair passes where it meets first, and there at least it is found.
+    """
     needed = F.ceil(rule.percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) / (100 + rule.percent))
-    return F.least(F.col(f"{x}.n") - F.col(f"{x}.own"), F.col(f"{y}.n") - F.col(f"{y}.own")) >= needed
+    return F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place")) >= needed
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
@@ -212,7 +217,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
 def _heavy_links(lists: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     """Links that connect what is connected among the heavy classes."""
     hubs = staged(
-        lists.groupBy("gram").agg(F.min(F.struct("own", "cid", "n")).alias("hub"), F.count(F.lit(1)).alias("members"))
+        lists.groupBy("gram").agg(F.min(F.struct("own", "cid", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("members"))
         .filter("members > 1").select("gram", "hub.*"),
         "hubs",
     )
@@ -221,7 +226,7 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, rule: Threshold) -> DataFram
     pairs = met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     linked = _verified(pairs, sets, rule)
     found = connected_components(linked)
-    placed = lists.join(found, lists["cid"] == found["node"], "left").select("gram", "cid", "n", "own", F.coalesce("component", "cid").alias("part"))
+    placed = lists.join(found, lists["cid"] == found["node"], "left").select("gram", "cid", "n", "place", F.coalesce("component", "cid").alias("part"))
     placed = staged(placed, "placed")
     mixed_lists = staged(
         placed.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("gram"), "mixed_lists"
