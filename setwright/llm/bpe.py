@@ -26,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from setwright.llm.textarrays import slices
+from setwright.llm.textarrays import slices, small_batches
 
-#: Distinct words, and runs without white space, kept per Python worker; the table starts anew beyond it.
-CACHE_WORDS = 600_000
-_PAIRS = 500_000
+#: Distinct words whose ids a Python worker keeps, some 350 bytes each with what goes with them; the tables start
+#: anew beyond it. Fewer take less memory and more time, and change nothing else.
+WORDS_KEPT = 600_000
 _HEAD = 6
 _WIDE = 1 << 32
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -72,6 +72,7 @@ class Merges:
                 self.tails.setdefault("".join(symbols[k:]), -1)
             self.tails[name] = i
         self._apart: dict[int, bool] = {}
+        self.kept = WORDS_KEPT
         #: Last token, and its symbols, of short heads of words.
         self._heads: dict[str, tuple[int, int]] = {}
 
@@ -120,7 +121,7 @@ class Merges:
             else:
                 known = True
                 break
-        if len(self._apart) >= _PAIRS:
+        if len(self._apart) >= self.kept:
             self._apart.clear()
         self._apart[key] = known
         return known
@@ -165,7 +166,7 @@ class Merges:
             last.append(pair[0])
             size.append(pair[1])
             if fresh and n <= _HEAD:
-                if len(heads) >= CACHE_WORDS:
+                if len(heads) >= self.kept // 2:
                     heads.clear()
                 heads[seen] = pair
                 continue
@@ -233,6 +234,11 @@ class Tokenizer:
         self._chunks: dict[str, tuple[bytes, bytes, int]] = {}
         self._words: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Empty the tables of words, which would stay with the worker after its task."""
+        for table in (self._chunks, self._words, self.merges._apart, self.merges._heads):
+            table.clear()
+
     # -- encoding
 
     def word_ids(self, word: str) -> Iterator[int]:
@@ -248,7 +254,7 @@ class Tokenizer:
             if ids is None:
                 ids = tuple(self.word_ids(word))
                 if len(word) <= 64:
-                    if len(self._words) >= CACHE_WORDS:
+                    if len(self._words) >= self.merges.kept:
                         self._words.clear()
                     self._words[word] = ids
             out += ids
@@ -283,7 +289,7 @@ class Tokenizer:
             ids = self.chunk_ids(chunk)
             found = (" ".join(map(str, ids)).encode(), " ".join(self.names[i] for i in ids).encode(), len(ids))
             if len(chunk) <= 64:
-                if len(self._chunks) >= CACHE_WORDS // 2:
+                if len(self._chunks) >= self.merges.kept // 2:
                     self._chunks.clear()
                 self._chunks[chunk] = found
         return found
@@ -359,7 +365,9 @@ def tokenizer_of(spec: str) -> Tokenizer:
     return _loaded[key]
 
 
-def bpe_digests(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def bpe_digests(
+    docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", words_kept: int = WORDS_KEPT
+) -> DataFrame:
     """Encode and decode every text; one row per row with counts and digests.
 
     Returns ``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``. The tokenizer file (a fixed
@@ -371,8 +379,9 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, text: str = "text", key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(spec.value)
+        tokenizer.merges.kept = words_kept
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 found = [tokenizer.digests(t or "") for t in part.column("text").to_pylist()]
                 n, ids, decoded = zip(*found) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -382,26 +391,33 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, text: str = "text", key: s
 
     narrow = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = small_batches(narrow).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
 
 
-def bpe_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode every text; one row per row with ``key``, ``n_tokens`` and the ``ids`` themselves."""
+def bpe_ids(
+    docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", words_kept: int = WORDS_KEPT // 5
+) -> DataFrame:
+    """Encode every text; one row per row with ``key``, ``n_tokens`` and the ``ids`` themselves.
+
+    Keeps fewer words than ``bpe_digests`` and forgets them after each task, as it is one stage among others.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(spec.value)
+        tokenizer.merges.kept = words_kept
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 ids = [tokenizer.ids_fast(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                     names=["key", "n_tokens", "ids"],
                 )
+        tokenizer.forget()
 
     narrow = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"key {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("key", key)
+    return small_batches(narrow).mapInArrow(run, f"key {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("key", key)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setwright.llm.quality import held_out
-from setwright.llm.textarrays import flat, slices
+from setwright.llm.textarrays import flat, slices, small_batches
 
 HIDDEN = 8
 STEP = 128
@@ -210,7 +210,7 @@ def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key {kind}, lang_pred string, score double")
+    out = small_batches(rows).mapInArrow(run, f"key {kind}, lang_pred string, score double")
     return out.select(
         F.col("key").alias(key), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "lang_pred", "score"
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setwright.llm.textarrays import SPACED, Words, flat, mixed, run_hashes, slices
+from setwright.llm.textarrays import SPACED, Words, flat, mixed, run_hashes, slices, small_batches
 
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 12_000
@@ -185,7 +185,7 @@ def _statistics_of(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=["key", "x"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, x array<double>")
+    return small_batches(docs).mapInArrow(run, f"key {kind}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Trees:
@@ -216,7 +216,7 @@ def scored(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return small_batches(rows).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **names) -> DataFrame:
@@ -228,7 +228,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **na
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns stay."""
+    """``docs`` without the rows that the classifier rejects; all columns stay.
+
+    Without labels of both kinds there is nothing to tell them apart by, and nothing is rejected.
+    """
     names = docs.columns
+    model = train(docs, labels, key)
+    if not len(model.feature):
+        return docs
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
-    return scored(packed, train(docs, labels, key), "row").filter(F.col("score") >= ACCEPT).select("row.*")
+    return scored(packed, model, "row").filter(F.col("score") >= ACCEPT).select("row.*")

@@ -13,8 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+#: Rows in an Arrow batch at most; Spark's default suits short rows, and texts are not.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LONG_WORD = 256
 _K0 = np.uint64(0x9E3779B97F4A7C15)
 _K1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -25,6 +29,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep Arrow batches of the session that ``df`` belongs to small, and return ``df``."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 def byte_class(keep) -> np.ndarray:
     """A table of 256 booleans."""
     return np.array([bool(keep(b)) for b in range(256)])

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setwright.llm.textarrays import small_batches
 from setwright.session import scratch_path, staged
 from setwright.sinks.shared_files import open_base
 
@@ -180,7 +181,7 @@ def write_warc(
         )
 
     manifest = f"{path}/_manifest"
-    ordered.drop("tie").mapInArrow(run, MANIFEST).write.parquet(manifest)
+    small_batches(ordered.drop("tie")).mapInArrow(run, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setwright.llm.textarrays import ALNUM, Words, flat, run_hashes, slices
+from setwright.llm.textarrays import ALNUM, Words, flat, run_hashes, slices, small_batches
 
 WINDOW = 10
 #: Words hashed together for the shift table.
@@ -204,7 +204,7 @@ def _pass(docs: DataFrame, found_tables, kind: str) -> DataFrame:
                     names=["key", "text", "n_words", "items", "starts", "sizes"],
                 )
 
-    return docs.mapInArrow(run, HITS.format(key=kind))
+    return small_batches(docs).mapInArrow(run, HITS.format(key=kind))
 
 
 def occurrences(
