@@ -14,17 +14,18 @@ Defined results: null and empty texts have 0 tokens; repeated rows get equal row
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from setwright.llm.textarrays import slices
+from setwright.llm.textarrays import slices, small_batches
 
 MARK = "▁"
 UNKNOWN_LESS = 10.0
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class Unigram:
@@ -117,23 +118,24 @@ def pieces_of(model_path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-_made: dict[int, Unigram] = {}
+_made: dict[str, Unigram] = {}
 
 
 def token_counts(docs: DataFrame, pieces: Sequence[tuple[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: ``key, n_tokens`` of the whole text. ``pieces`` is a vocabulary of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(list(pieces))
+    name = hashlib.sha256(repr(list(pieces)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _made:
+        if name not in _made:
             _made.clear()
-            _made[shared.id] = Unigram(shared.value)
-        model = _made[shared.id]
+            _made[name] = Unigram(shared.value)
+        model = _made[name]
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 counts = [model.count(t) if t else 0 for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int64())], names=["key", "n_tokens"])
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
+    return small_batches(rows).mapInArrow(run, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
