@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setwright.llm.textarrays import SPACED, Words, byte_class, flat, mixed, slices
+from setwright.llm.textarrays import SPACED, Words, byte_class, flat, mixed, slices, small_batches
+from setwright.operators.joins import mark_needed
 from setwright.session import staged
 
 SENTENCES = 2
@@ -121,7 +122,7 @@ def _runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"h bigint, key {kind}, t bigint, at int")
+    return small_batches(docs).mapInArrow(run, f"h bigint, key {kind}, t bigint, at int")
 
 
 def repeated_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -131,7 +132,7 @@ def repeated_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORD
     """
     runs = _runs(docs, sentences, words)
     twice = staged(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated_hashes")
-    places = staged(runs.join(twice, "h").select("h", "key", "t", "at").distinct(), "repeated_places")
+    places = staged(runs.join(twice, "h").select("h", "key", "t", "at"), "repeated_places")
     place = F.struct("key", "t", "at")
     first = staged(places.groupBy("h").agg(F.min(place).alias("first")), "first_places")
     later = places.join(first, "h").filter(~place.eqNullSafe(F.col("first")))
@@ -186,8 +187,12 @@ def dedup_spans(
     )
     found = repeated_runs(packed.select("key", "text", "t"), sentences, words)
     found = staged(found.select(F.col("key").alias("_key"), F.col("t").alias("_t"), "runs"), "removed_runs")
-    marked = packed.join(found, packed["key"].eqNullSafe(found["_key"]) & (packed["t"] == found["_t"]), "left")
-    out = _cleaned(marked, sentences, words)
+    # Only texts that lose something meet their list; the others stay where they are read.
+    seen = mark_needed(packed, found.select(F.col("_key").alias("key"), F.col("_t").alias("t")), ["key", "t"], "_touched")
+    touched = seen.filter("_touched").drop("_touched")
+    touched = touched.join(found, touched["key"].eqNullSafe(found["_key"]) & (touched["t"] == found["_t"]), "left")
+    marked = seen.filter("NOT _touched").select("row", "text", F.lit(None).cast("array<int>").alias("runs"))
+    out = _cleaned(marked.unionByName(touched.select("row", "text", "runs")), sentences, words)
     return out.select(
         F.col("row.key").alias(key), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "n_sentences", "n_removed", F.col("text").alias(text)
     )
