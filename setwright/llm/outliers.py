@@ -11,9 +11,12 @@ thousandths as integers, so all sums are exact and the result does not depend on
 pass with sums per group and distance bin, combined before the shuffle; the nearest rows are taken in whole
 bins. A group of any size sends no more than its bins; nothing of it meets in one task.
 
+A group of fewer than ``MIN_GROUP`` documents that pass the base rules is too small for an estimate of its own: its
+documents are compared with the estimate of their language, and where that is as small with the one of all documents.
+
 Defined results: null texts have no words and fail the base rules; null languages and sources are
-groups of their own; in groups of fewer than ``MIN_GROUP`` documents nothing is rejected beyond the base
-rules, as there is no estimate; repeated rows get equal rows. Extra columns are ignored.
+groups of their own; ``distance2`` is null only in a table without any document that passes the base rules;
+repeated rows get equal rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from setwright.session import staged
 
 SUPPORT = 0.75
 STEPS = 3
+#: Documents that an estimate needs, except the one of all documents.
 MIN_GROUP = 50
 #: A clean, normally distributed vector is rejected with this probability.
 TAIL = 1e-7
@@ -125,6 +129,39 @@ def chi2_quantile(q: float, p: float) -> float:
     return (low + high) / 2
 
 
+def _levels(good: DataFrame, group: list[str]) -> DataFrame:
+    """Each row once in its group, and once in each larger one, down to the group of all rows.
+
+    The larger groups have ``_level`` above 0, and null in the columns that they do without.
+    """
+    kinds = {g: good.schema[g].dataType for g in group}
+    at = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(k).alias("_level"), *[(F.col(g) if j < len(group) - k else F.lit(None).cast(kinds[g])).alias(f"_{g}") for j, g in enumerate(group)])
+                for k in range(len(group) + 1)
+            ]
+        )
+    )
+    each = good.select(*[f"x{i}" for i in range(P)], at.alias("_at"))
+    return each.select(F.col("_at._level").alias("_level"), *[F.col(f"_at._{g}").alias(g) for g in group], *[f"x{i}" for i in range(P)])
+
+
+def _nearest_level(rows: DataFrame, model: DataFrame, group: list[str]) -> DataFrame:
+    """The estimate of every group of ``rows``: its own, or the one of the smallest larger group that has one."""
+    entries = [c for c in model.columns if c not in ("__level", *[f"_{g}" for g in group])]
+    out = rows.select(*group).distinct()
+    for k in range(len(group) + 1):
+        # One row per group at most, and a single one for all rows.
+        side = model.filter(F.col("__level") == k).select(*[f"_{g}" for g in group], F.struct(*entries).alias(f"_of{k}"))
+        same = F.lit(True)
+        for g in group[: len(group) - k]:
+            same = same & out[g].eqNullSafe(side[f"_{g}"])
+        out = out.join(side if k < len(group) else F.broadcast(side), same, "left").drop(*[f"_{g}" for g in group])
+    best = out.select(*[F.col(g).alias(f"_{g}") for g in group], F.coalesce(*[F.col(f"_of{k}") for k in range(len(group) + 1)]).alias("_of"))
+    return staged(best.filter("_of IS NOT NULL").select(*[f"_{g}" for g in group], "_of.*"), "mcd")
+
+
 def _estimate(sums: DataFrame, group: list[str]) -> DataFrame:
     """Mean and Cholesky factor per group from counts and sums ``n, s{i}, s{i}{j}``."""
     n = F.col("n")
@@ -152,7 +189,7 @@ def _factored(table: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _distance(rows: DataFrame, model: DataFrame, group: list[str]) -> DataFrame:
-    """Add the squared Mahalanobis distance; null in groups without an estimate."""
+    """Add the squared Mahalanobis distance; null where there is no estimate."""
     same = None
     for g in group:
         one = rows[g].eqNullSafe(model[f"_{g}"])
@@ -187,7 +224,7 @@ def _start(rows: DataFrame, group: list[str]) -> DataFrame:
         for i in range(P)
         for j in range(i + 1)
     ]
-    enough = wide.filter(F.col("all") >= MIN_GROUP)
+    enough = wide.filter((F.col("all") >= MIN_GROUP) | (F.col("_level") == len(group) - 1))
     return _factored(enough.select(*group, *[F.col(f"mid{j}").cast("double").alias(f"m{j}") for j in range(P)], *cov), group)
 
 
@@ -217,15 +254,16 @@ def quality_rules(
     group = list(group)
     counts = staged(text_counts(docs, key, text, tuple(group)), "text_counts")
     rows = counts.select("*", *vector())
-    good = rows.filter("NOT base_failed")
-    model = _start(good, group)
+    good = _levels(rows.filter("NOT base_failed"), group)
+    level = ["_level", *group]
+    model = _start(good, level)
     for _ in range(steps):
-        model = _concentrated(good, model, group)
+        model = _concentrated(good, model, level)
     inner = chi2_quantile(SUPPORT, P)
     # The nearest share alone spreads less than all; this makes its covariance that of a normal whole.
     factor = SUPPORT / chi2_cdf(inner, P + 2)
     cutoff = chi2_quantile(1 - TAIL, P) * factor
-    judged = _distance(rows, model, group)
+    judged = _distance(rows, _nearest_level(rows, model, group), group)
     far = F.coalesce(F.col("distance2") > cutoff, F.lit(False))
     return judged.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -333,6 +333,28 @@ def test_outliers_equal_plain_estimate(spark):
             assert kept[d] == (not failed and far <= cutoff)
 
 
+def random_words(rng, n):
+    return ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(n)]
+
+
+def test_small_groups_use_larger_ones(spark):
+    """A document gets the same distance from the estimate of its language, or of all, where its own group is small."""
+    rng = random.Random(7)
+    plain = lambda: " ".join(random_words(rng, rng.randrange(80, 160)))
+    junk = plain() + "".join(f" {c * n}" for n in (28, 29, 30, 31, 32) for c in "#$*|<>&%")
+    docs = [(k, plain(), "en", "big") for k in range(outliers.MIN_GROUP)]
+    docs += [(100, plain(), "en", "small"), (101, junk, "en", "small"), (102, plain(), None, "small"), (103, junk, None, "small"), (104, "few", "de", None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.quality_rules(frame).collect()}
+    assert len(got) == len(docs) and all(r.distance2 is not None for r in got.values())
+    assert (got[100].kept, got[101].kept, got[102].kept, got[103].kept, got[104].kept) == (True, False, True, False, False)
+    whole = outliers.quality_rules(frame.withColumns({"lang": F.lit("x"), "source": F.lit("x")})).filter("doc_id = 103").first()
+    assert got[103].distance2 == pytest.approx(whole.distance2)
+    # A table smaller than one group needs.
+    few = {r.doc_id: r for r in outliers.quality_rules(frame.filter("doc_id >= 80 AND doc_id < 120")).collect()}
+    assert not few[101].kept and few[100].kept and few[104].distance2 is not None
+
+
 def test_outlier_plan_is_native(spark):
     assert "Python" not in outliers.text_counts(documents(spark))._jdf.queryExecution().executedPlan().toString()
 
