@@ -33,9 +33,10 @@ STEPS = 3
 #: Documents that an estimate needs, except the one of all documents.
 MIN_GROUP = 50
 #: A clean, normally distributed vector is rejected with this probability.
-TAIL = 1e-7
-#: Standard deviations (in thousandths) added to each statistic, as several are constant in clean text.
-FLOORS = (60, 400, 120, 120, 500)
+TAIL = 1e-3
+#: Standard deviations (in thousandths) added to each statistic, as several are constant in clean text. Each leaves
+#: room for the cutoff: base rules let through repeated words of 447 thousandths, over seven floors.
+FLOORS = (60, 400, 120, 60, 500)
 P = len(FLOORS)
 _BINS_PER_DOUBLING = 16
 _SPACE = " \t\n\x0b\f\r"

@@ -351,10 +351,23 @@ def test_small_groups_use_larger_ones(spark):
     whole = outliers.quality_rules(frame.withColumns({"lang": F.lit("x"), "source": F.lit("x")})).filter("doc_id = 103").first()
     assert got[103].distance2 == pytest.approx(whole.distance2)
     # A table smaller than one group needs.
-    few = {r.doc_id: r for r in outliers.quality_rules(frame.filter("doc_id >= 80 AND doc_id < 120")).collect()}
+    few = {r.doc_id: r for r in outliers.quality_rules(frame.filter("doc_id >= 30 AND doc_id <> 103")).collect()}
     assert not few[101].kept and few[100].kept and few[104].distance2 is not None
 
 
+def test_each_statistic_can_reject(spark):
+    """A tenth of the characters being symbols, or a sixth of the words being repeated, is far from plain texts."""
+    rng = random.Random(8)
+    docs = [(k, " ".join(random_words(rng, rng.randrange(100, 160)))) for k in range(80)]
+    words = random_words(rng, 120)
+    docs += [(100, " ".join(words)), (101, " ".join(words) + " " + "#" * 30 + " " + "|" * 30), (102, " ".join(words[:110] + words[:10]))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'a' AS source")
+    got = {r.doc_id: r for r in outliers.quality_rules(frame).collect()}
+    assert not any(got[k].base_failed for k in (100, 101, 102)) and got[102].n_repeat_words == 20
+    assert (got[100].kept, got[101].kept, got[102].kept) == (True, False, False)
+    assert sum(not got[k].kept for k in range(80)) <= 2
+
+
 def test_outlier_plan_is_native(spark):
     assert "Python" not in outliers.text_counts(documents(spark))._jdf.queryExecution().executedPlan().toString()
 
