@@ -10,7 +10,8 @@ aliases is blocked by a rule and none is allowed by a rule; otherwise it is allo
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule, and is
 nobody's alias; null HTML has no links; repeated rows each get their own equal row; links that
-cannot be resolved are ignored. Extra columns are ignored.
+cannot be resolved are ignored. In the tags, ``&amp;`` and its numeric forms are read as ``&``; other character references
+stay as they are written. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TAG = r"(?is)<(?:link|meta)\s[^>]*>"
 _CANONICAL = r"(?is)\srel\s*=\s*[\"']?canonical[\"'\s/>]"
 _REFRESH = r"(?is)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s/>]"
+_AMPERSAND = r"&(?:amp|AMP|#0*38|#[xX]0*26);"
 _HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 _TARGET = r"(?is)url\s*=\s*[\"']?([^\"'\s>;]+)"
 
@@ -73,7 +75,9 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     u, h = pages[url], pages[html]
     tags = F.regexp_extract_all(h, F.lit(_TAG), F.lit(0))
     telling = F.filter(tags, lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))
-    to = F.transform(telling, lambda t: F.when(t.rlike(_CANONICAL), F.regexp_extract(t, _HREF, 1)).otherwise(F.regexp_extract(t, _TARGET, 1)))
+    # Before the address is taken out, as one in a refresh ends at a semicolon.
+    plain = F.transform(telling, lambda t: F.regexp_replace(t, _AMPERSAND, "&"))
+    to = F.transform(plain, lambda t: F.when(t.rlike(_CANONICAL), F.regexp_extract(t, _HREF, 1)).otherwise(F.regexp_extract(t, _TARGET, 1)))
     # Most pages have no such tag; the plain substring test keeps them from the patterns.
     low = F.lower(h)
     some = pages.filter(low.contains("canonical") | low.contains("http-equiv"))

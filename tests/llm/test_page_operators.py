@@ -150,6 +150,19 @@ def test_aliases_follow_links(spark):
     assert (by[3].rule, by[5].rule, by[1].rule) == ("example.org/es/", "com/fr/", None)
 
 
+def test_escaped_addresses_are_aliases(spark):
+    blocked = "https://b.example.org/es/p?page=2&ref=x"
+    forms = ["&amp;", "&#38;", "&#038;", "&#x26;", "&#X26;", "&"]
+    pages = [(0, blocked, None), (1, "http://plain.example.net/p?page=2", '<link rel="canonical" href="https://b.example.org/es/p?page=2&amp;amp;ref=x">')]
+    for k, form in enumerate(forms):
+        link = blocked.replace("&", form)
+        pages.append((10 + k, f"http://c{k}.example.net/", f'<link rel="canonical" href="{link}">'))
+        pages.append((20 + k, f"http://r{k}.example.net/", f'<meta http-equiv="refresh" content="0; url={link}">'))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in urlrules.url_verdicts(df, queries.URL_RULES).collect()}
+    assert got == {k: "allow" if k == 1 else "block" for k in got} and len(got) == len(pages)
+
+
 def test_rule_choice(spark):
     urls = ["http://x.org/a", "http://x.org", "http://xorg/", "http://a.example.org/en/12", "http://notexample.org/es/", "https://EXAMPLE.org/es/?a", "s://com/de/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "CAST(NULL AS STRING) AS html")
