@@ -11,7 +11,8 @@ The benchmark comes to the tasks in blocks of at most ``PATTERNS_PER_BLOCK`` pat
 a larger benchmark makes more passes over the rows within the same tasks, with no shuffle.
 
 Defined results: null and empty texts have no words and no hits; an item without words is no
-pattern; items with equal windows are all named; repeated documents each get their own equal row; an
+pattern; items with equal windows are all named; an item without an id is a pattern like any other (all such items
+count as one in ``n_items`` and add nothing to ``items_sha256``); repeated documents each get their own equal row; an
 empty benchmark hits nothing. Extra columns are ignored.
 """
 
@@ -41,7 +42,7 @@ _STRETCH = 256
 class Patterns:
     """Shift tables and suffix buckets for patterns of one length."""
 
-    def __init__(self, words: list[tuple[bytes, ...]], owners: list[list[str]]):
+    def __init__(self, words: list[tuple[bytes, ...]], owners: list[list[str | None]]):
         self.words = words
         self.owners = owners
         self.length = m = len(words[0])
@@ -141,25 +142,28 @@ def windows_of(text: str | None, window: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[k : k + window]) for k in range(len(words) - window + 1)]
 
 
-def tables(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Ids sorted, a null one first."""
+    return sorted(items, key=lambda i: (i is not None, i or ""))
+
+
+def tables(items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
     """Search tables, one per pattern length, for some items."""
-    owners: dict[tuple[bytes, ...], set[str]] = {}
+    owners: dict[tuple[bytes, ...], set[str | None]] = {}
     for item, text in items:
         for pattern in windows_of(text, window):
             owners.setdefault(pattern, set()).add(item)
     by_length: dict[int, list[tuple[bytes, ...]]] = {}
     for pattern in sorted(owners):
         by_length.setdefault(len(pattern), []).append(pattern)
-    return [Patterns(ps, [sorted(owners[p]) for p in ps]) for _, ps in sorted(by_length.items())]
+    return [Patterns(ps, [in_order(owners[p]) for p in ps]) for _, ps in sorted(by_length.items())]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str | None]]]:
+def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark's items in blocks of a bounded number of words, one at a time."""
     block, size = [], 0
     # One partition of items at a time reaches the driver; a block is held, never the table.
     for row in benchmark.select(F.col(item).cast("string"), text).toLocalIterator(prefetchPartitions=False):
-        if row[0] is None:
-            continue
         length = len(row[1] or "") // 2 + 1  # words, and so windows, at most
         if block and size + length > PATTERNS_PER_BLOCK:
             yield block
@@ -197,7 +201,7 @@ def _pass(docs: DataFrame, found_tables, kind: str) -> DataFrame:
                         part.column("key"),
                         part.column("text"),
                         pa.array(np.diff(found.first), pa.int64()),
-                        pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                        pa.array([in_order(i) for i in items], pa.list_(pa.string())),
                         pa.array(starts, pa.list_(pa.int32())),
                         pa.array(sizes, pa.list_(pa.int32())),
                     ],
@@ -218,7 +222,7 @@ def occurrences(
 ) -> DataFrame:
     """Every occurrence of a benchmark window in each row of ``docs``.
 
-    Returns ``key``, ``text``, ``n_words``, ``items`` (sorted ids as text, each once), and ``starts`` and ``sizes``:
+    Returns ``key``, ``text``, ``n_words``, ``items`` (sorted ids as text, each once, a null one first), and ``starts`` and ``sizes``:
     first word and number of words of each occurrence.
     """
     spark = docs.sparkSession
@@ -250,7 +254,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             starts, sizes = batch.column("starts").to_pylist(), batch.column("sizes").to_pylist()
             items = batch.column("items").to_pylist()
             hit = [covered(s, z) for s, z in zip(starts, sizes)]
-            digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
+            digests = [hashlib.sha256(",".join(x for x in i if x is not None).encode()).hexdigest() for i in items]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
