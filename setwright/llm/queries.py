@@ -189,3 +189,71 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setwright.llm.unigram import pieces_of, token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), pieces_of(tokenizer_file("piece_bpe_32k.model")))
+
+
+OP11_SQL = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.uid AS asked, q.vec_id AS query_id, c.uid, c.vec_id,
+    coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS score
+  FROM vectors q JOIN vectors c ON q.uid != c.uid WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank,
+  vec_id, CAST(score AS BIGINT) AS score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query("op11_exact_topk", OP11_SQL)
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.pivots import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, a, c, h.f AS l, t.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cuts JOIN grams h ON h.lang = cuts.lang AND h.phrase = head AND h.k = c
+  JOIN grams t ON t.lang = cuts.lang AND t.phrase = tail AND t.k = cuts.k - c),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+covers AS (
+  SELECT lang, phrase, max(a) AS cover FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM candidates WHERE k = 3)
+  GROUP BY lang, phrase),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN covers ON lowest.lang = covers.lang AND lowest.phrase = covers.phrase AND lowest.k = 2
+  WHERE cover IS NULL OR 100 * cover < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN totals ON kept.lang = totals.lang QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setwright.llm.spellings import spellings
+
+    return spellings(table(spark, sf_dir, "documents"))
