@@ -5,11 +5,13 @@ past the end of its piece. Only these longest windows are counted from the texts
 is the prefix of the windows that begin with it, so a ``ROLLUP`` over the counted windows sums them to the counts of all
 shorter phrases, of single words and of all words of a language. No n-gram of another length is exploded.
 
-Most windows of a large corpus occur once and can be no part of a phrase with ``least`` occurrences. A first pass
-counts word pairs by the bucket their hash falls in; where a bucket stays below ``least``, so do its pairs, and
-lead columns from there on hold a marker instead of words. Windows then fall together before they are shuffled.
-The table of buckets has ``FILTER_BITS`` bits (16 MB) for any input: with very many frequent pairs it prunes less, and the
-counts are the same, since pairs that pass are counted by their words.
+Most windows of a large corpus occur once and can be no part of a phrase with ``least`` occurrences. So a pass for
+each length up to ``most`` first counts the windows of that length by the bucket their hash falls in; where a bucket stays
+below ``least``, so do its phrases, and lead columns hold a marker instead of the word that would complete one. Windows
+then fall together before they are shuffled. Only phrases whose own parts were frequent enough are counted by the next pass. The
+table of a length has ``2 ** FILTER_BITS`` bits (16 MB) for any input: with very many frequent phrases it
+prunes less, and the counts are the same, since what passes is counted by its words. The counters travel as
+packed runs of 3 bytes a bucket and are added up in tasks that hold one byte a bucket.
 
 Windows are combined in each slice of text, in each task and where they meet, so a word, pair or language that a
 third of all rows share is a handful of partial sums. The first phrases of a language are chosen in slots of bounded size,
@@ -37,6 +39,8 @@ from setwright.session import staged
 
 FILTER_BITS = 27
 _ROW_BITS = 15
+#: Windows whose buckets a task holds before it packs them.
+_HELD = 1 << 23
 _BREAKS = byte_class(lambda b: chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D)
 _WORD = byte_class(lambda b: b not in (0x20, 0x09) and not _BREAKS[b])
 #: Stands for words that are no part of a candidate, and for padding. No word holds a blank.
@@ -89,11 +93,26 @@ class _Windows:
         if n > 1:
             self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
 
-    def buckets(self, salt: np.ndarray) -> np.ndarray:
-        """The bucket of each word and its next one; ``salt`` has a number for the language of each text."""
+    def buckets(self, salt: np.ndarray, size: int) -> np.ndarray:
+        """The bucket of each window of ``size`` words; ``salt`` has a number for the language of each text."""
         h = self.words.hashes()
-        after = np.concatenate([h[1:], h[:1]])
-        return (mixed(mixed(h ^ salt[self.text]) + after * _SPREAD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        out = h ^ salt[self.text]
+        for k in range(1, size):
+            out = mixed(out) + np.concatenate([h[k:], h[:k]]) * _SPREAD
+        return (mixed(out) >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
+
+    def possible(self, salt: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+        """For the sizes from 2 to that after the last table: which windows may be frequent by the tables of smaller ones.
+
+        A window that a table rules out is ruled out in the masks from the next size on.
+        """
+        out = [self.joined]
+        for size, bits in enumerate(tables, 2):
+            place = self.buckets(salt, size)
+            live = out[-1] & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+            out[-1] = live
+            out.append(live & np.concatenate([live[1:], [False]])[: len(live)])
+        return out
 
     def strings(self) -> pa.Array:
         data, start, end = self.words.data, self.words.start, self.words.end
@@ -127,48 +146,81 @@ def _seen(batches: Iterator[pa.RecordBatch], most: int, limit: int) -> Iterator[
                 yield _Windows(raw, offsets, own), salt, index, names
 
 
-def _frequent_buckets(rows: DataFrame, most: int, least: int, limit: int) -> np.ndarray:
-    """A bit for each bucket whose pairs occur ``least`` times together."""
+def _packed(places: np.ndarray, least: int) -> pa.RecordBatch:
+    """Counts by bucket, as one row for each run of buckets: places in the run, and counts up to ``least``."""
+    found, counts = np.unique(places, return_counts=True)
+    rows = found >> _ROW_BITS
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    ends = np.append(first, len(found)).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seen, salt, _, _ in _seen(batches, most, limit):
-            pairs = np.flatnonzero(seen.joined[: seen.own])
-            places, counts = np.unique(seen.buckets(salt)[pairs], return_counts=True) if len(pairs) else (pairs, pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(counts.astype(np.int32))], names=["place", "n"])
-
-    counted = rows.mapInArrow(run, "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    in_row = (1 << _ROW_BITS) - 1
-    bits = counted.groupBy(F.shiftright("place", _ROW_BITS).alias("row")).agg(
-        F.bitmap_construct_agg(F.col("place").bitwiseAND(in_row).cast("bigint")).alias("bits")
+    def runs(values: np.ndarray) -> pa.Array:
+        at = pa.py_buffer(ends * values.itemsize)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, at, pa.py_buffer(values.tobytes())])
+
+    low = (found & ((1 << _ROW_BITS) - 1)).astype(np.uint16)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[first].astype(np.int32)), runs(low), runs(np.minimum(counts, least).astype(_counter(least)))], names=["row", "places", "counts"]
     )
+
+
+def _counter(least: int):
+    return np.uint8 if least < 256 else np.uint32
+
+
+def _frequent_buckets(rows: DataFrame, most: int, least: int, limit: int, before: list) -> np.ndarray:
+    """A bit for each bucket whose windows occur ``least`` times together; the size follows the tables of smaller ones."""
+    size = len(before) + 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [t.value for t in before]
+        held, n = [], 0
+        for seen, salt, _, _ in _seen(batches, most, limit):
+            held.append(seen.buckets(salt, size)[: seen.own][seen.possible(salt, tables)[-1][: seen.own]])
+            n += len(held[-1])
+            if n >= _HELD:
+                yield _packed(np.concatenate(held), least)
+                held, n = [], 0
+        if n:
+            yield _packed(np.concatenate(held), least)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, sums = _counter(least), {}
+        for batch in batches:
+            for row, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                of = sums.setdefault(row, np.zeros(1 << _ROW_BITS, kind))
+                at = np.frombuffer(places, np.uint16)
+                of[at] = np.minimum(of[at].astype(np.int64) + np.frombuffer(counts, kind), least)
+        for row, of in sums.items():
+            bits = np.packbits(of >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([bits], pa.binary())], names=["row", "bits"])
+
+    packed = rows.mapInArrow(count, "row int, places binary, counts binary").repartition("row")
     # At most 2 ** (FILTER_BITS - _ROW_BITS) rows of 4 KB, whatever the input.
     table = np.zeros((1 << (FILTER_BITS - _ROW_BITS), 1 << (_ROW_BITS - 3)), np.uint8)
-    for row, held in bits.toLocalIterator():
-        table[row] = np.frombuffer(held, np.uint8)
+    for row, bits in packed.mapInArrow(add, "row int, bits binary").collect():
+        table[row] = np.frombuffer(bits, np.uint8)
     return table.ravel()
 
 
 def windows(rows: DataFrame, most: int, least: int, limit: int = SLICE_BYTES) -> DataFrame:
     """``lang, w1 .. w<most>, n``: windows of every word, equal ones of a stretch together.
 
-    A lead column past the end of the piece, or past a pair that is too rare, holds the marker.
+    A lead column past the end of the piece, or past words that are too rare together, holds the marker.
     """
-    table = rows.sparkSession.sparkContext.broadcast(_frequent_buckets(rows, most, least, limit))
+    tables = []
+    for _ in range(2, most + 1):
+        tables.append(rows.sparkSession.sparkContext.broadcast(_frequent_buckets(rows, most, least, limit, tables)))
     names = [f"w{i}" for i in range(1, most + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
+        bits = [t.value for t in tables]
         for seen, salt, index, langs in _seen(batches, most, limit):
             if not seen.own:
                 continue
-            place = seen.buckets(salt)
-            go = seen.joined & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-            go = np.concatenate([go, np.zeros(most, bool)])
             words, at = seen.strings(), np.arange(seen.own)
-            reach = np.ones(seen.own, bool)
             columns = [pa.DictionaryArray.from_arrays(pa.array(index[seen.text[: seen.own]]), langs).cast(pa.string()), words.slice(0, seen.own)]
-            for k in range(1, most):
-                reach = reach & go[k - 1 : k - 1 + seen.own]
+            for k, reach in enumerate(seen.possible(salt, bits)[: most - 1], 1):
+                reach = reach[: seen.own]
                 lead = words.take(pa.array(np.where(reach, at + k, 0)))
                 columns.append(pc.if_else(pa.array(reach), lead, _NONE))
             counted = pa.table(columns, names=["lang", *names]).group_by(["lang", *names]).aggregate([([], "count_all")])
