@@ -203,14 +203,14 @@ def _frequent_buckets(rows: DataFrame, most: int, least: int, limit: int, before
 
 
 def windows(rows: DataFrame, most: int, least: int, limit: int = SLICE_BYTES) -> DataFrame:
-    """``lang, w1 .. w<most>, n``: windows of every word, equal ones of a stretch together.
+    """``lang, w1 .. w<most>, n``: windows of every word, equal ones together.
 
-    A lead column past the end of the piece, or past words that are too rare together, holds the marker.
+    A lead column past the end of the piece, or past words that are too rare together, holds the marker. The columns
+    travel as one text, which is a third shorter than several.
     """
     tables = []
     for _ in range(2, most + 1):
         tables.append(rows.sparkSession.sparkContext.broadcast(_frequent_buckets(rows, most, least, limit, tables)))
-    names = [f"w{i}" for i in range(1, most + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [t.value for t in tables]
@@ -218,17 +218,18 @@ def windows(rows: DataFrame, most: int, least: int, limit: int = SLICE_BYTES) ->
             if not seen.own:
                 continue
             words, at = seen.strings(), np.arange(seen.own)
-            columns = [pa.DictionaryArray.from_arrays(pa.array(index[seen.text[: seen.own]]), langs).cast(pa.string()), words.slice(0, seen.own)]
+            leads = [words.slice(0, seen.own)]
             for k, reach in enumerate(seen.possible(salt, bits)[: most - 1], 1):
-                reach = reach[: seen.own]
-                lead = words.take(pa.array(np.where(reach, at + k, 0)))
-                columns.append(pc.if_else(pa.array(reach), lead, _NONE))
-            counted = pa.table(columns, names=["lang", *names]).group_by(["lang", *names]).aggregate([([], "count_all")])
-            out = counted.rename_columns(["lang", *names, "n"]).select(["lang", *names, "n"])
-            for batch in out.cast(pa.schema([(c, pa.string()) for c in ["lang", *names]] + [("n", pa.int64())])).to_batches():
-                yield batch
+                leads.append(words.take(pa.array(np.where(reach[: seen.own], at + k, 0), mask=~reach[: seen.own])))
+            window = pc.binary_join_element_wise(*leads, pa.scalar(" ", pa.large_string()), null_handling="skip")
+            lang = pa.DictionaryArray.from_arrays(pa.array(index[seen.text[: seen.own]]), langs).cast(pa.string())
+            counted = pa.table([lang, window], names=["lang", "window"]).group_by(["lang", "window"]).aggregate([([], "count_all")])
+            out = counted.select(["lang", "window", "count_all"]).rename_columns(["lang", "window", "n"])
+            yield from out.cast(pa.schema([("lang", pa.string()), ("window", pa.string()), ("n", pa.int64())])).to_batches()
 
-    return rows.mapInArrow(run, ", ".join(f"{c} string" for c in ["lang", *names]) + ", n bigint")
+    counts = rows.mapInArrow(run, "lang string, window string, n bigint").groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    words = F.split("window", " ")
+    return counts.select("lang", *[F.coalesce(F.get(words, k), F.lit(_NONE)).alias(f"w{k + 1}") for k in range(most)], "n")
 
 
 def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, text: str = "text", lang: str = "lang", limit: int = SLICE_BYTES) -> DataFrame:
@@ -238,7 +239,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, text: str = "
     """
     rows = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].cast("string").alias("text"))
     w = [f"w{i}" for i in range(1, most + 1)]
-    top = windows(small_batches(rows), most, least, limit).groupBy("lang", *w).agg(F.sum("n").alias("f"))
+    top = windows(small_batches(rows), most, least, limit).withColumnRenamed("n", "f")
     # Windows too rare for candidates only count for their prefixes.
     last = F.when(F.col("f") < least, F.lit(_NONE)).otherwise(F.col(w[-1]))
     summed = top.select("lang", *w[:-1], last.alias(w[-1]), "f").rollup("lang", *w).agg(F.sum("f").alias("f"))
