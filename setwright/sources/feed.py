@@ -1,7 +1,7 @@
 """The record feed: pages of JSON records to typed rows, bad ones kept with a reason.
 
-A page is split into the texts of its records, each of which is parsed once to a
-VARIANT; everything after that reads members of it inside the row. No step
+A page is parsed once to an array of VARIANTs, one for each record; everything after
+that reads members of them inside the row. No step
 shuffles. Of a repeated key the last value counts.
 """
 
@@ -72,28 +72,36 @@ def _float(members: Column, key: str) -> Column:
     )
 
 
-# A record that is an object but too large to be parsed; it fails itself only.
+# A record that is an object but too large for a VARIANT (128 MiB); it fails itself only.
 _UNREADABLE = "unreadable_record"
+_VARIANT_BYTES = 128 * 1024 * 1024
 _ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def _checked_pages(pages: DataFrame) -> DataFrame:
     """Parse each page's records once; keep their members and what is wrong with them.
 
-    A record, not a page, has to fit a VARIANT (20 million characters a value), however large its page is.
+    Each record is a VARIANT of its own, so its kind is that of the page: a string that holds an object is a
+    string. A record, not a page, has to fit a VARIANT. Pages large enough to hold one that does not are split to the
+    texts of their records if they cannot be parsed, and those are read one by one.
     """
     # Read when a plan is optimized, so it stays set.
     pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     keep = [c for c in pages.columns if c != "body"]
-    texts = lambda c: F.from_json(c, "array<string>", _ANY_LENGTH)
     # One more pair of brackets shows text after the array, which a parser drops.
-    bracketed = F.concat(F.lit("["), F.col("body"), F.lit("]"))
-    outer = F.when(F.col("body").rlike(r"^\s*\["), texts(bracketed))
-    elements = F.when(F.size("_outer") == 1, texts(F.get("_outer", F.lit(0))))
+    bracketed = F.when(F.col("body").rlike(r"^\s*\["), F.concat(F.lit("["), F.col("body"), F.lit("]")))
 
-    def read(text: Column) -> Column:
-        members = _object(F.try_parse_json(text))
-        return F.struct(members.alias("m"), F.coalesce(text.startswith("{"), F.lit(False)).alias("o"))
+    def parsed(kind: str) -> Column:
+        return F.from_json(bracketed, f"array<array<{kind}>>", _ANY_LENGTH)
+
+    large = (F.octet_length("body") >= _VARIANT_BYTES) & F.col("_outer").isNull()
+    only = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
+
+    def read(record: Column) -> Column:
+        return F.struct(_object(record).alias("m"), F.lit(False).alias("o"))
+
+    def read_text(text: Column) -> Column:
+        return F.struct(_object(F.try_parse_json(text)).alias("m"), F.coalesce(text.startswith("{"), F.lit(False)).alias("o"))
 
     def defect(record: Column) -> Column:
         allowed = F.array(*map(F.lit, schema.RECORD_KEYS))
@@ -105,9 +113,13 @@ def _checked_pages(pages: DataFrame) -> DataFrame:
         )
 
     return (
-        pages.select(*keep, outer.alias("_outer"))
-        .select(*keep, elements.alias("_elements"))
-        .select(*keep, F.transform("_elements", lambda e: read(e)).alias("_read"))
+        pages.select(*keep, "body", parsed("variant").alias("_outer"))
+        .select(*keep, only("_outer").alias("_elements"), F.when(large, parsed("string")).alias("_texts"))
+        .select(*keep, "_elements", only("_texts").alias("_texts"))
+        .select(
+            *keep,
+            F.coalesce(F.transform("_elements", lambda e: read(e)), F.transform("_texts", lambda e: read_text(e))).alias("_read"),
+        )
         .select(
             *keep,
             F.transform("_read", lambda r: r["m"]).alias("_members"),

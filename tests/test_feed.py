@@ -143,9 +143,20 @@ def test_a_repeated_key_is_read(spark):
     assert got[0]["entries"][0]["string_value"] == "y"
 
 
-def test_a_value_too_large_refuses_its_own_record_only(spark):
+@pytest.mark.parametrize("size", [21_000_000, 135_000_000])
+def test_a_value_too_large_refuses_its_own_record_only(spark, size):
+    """Values of over 20 million characters are read; a record over 128 MiB is refused, and only that."""
     record = lambda value: F.concat(F.lit('{"set":"train","hash":"h","data":[{"type":"string","id":1,"value":"'), value, F.lit('"}]}'))
-    body = F.concat(F.lit("["), record(F.lit("a")), F.lit(","), record(F.repeat(F.lit("x"), F.lit(21_000_000))), F.lit(","), record(F.lit("b")), F.lit("]"))
+    body = F.concat(F.lit("["), record(F.lit("a")), F.lit(","), record(F.repeat(F.lit("x"), F.lit(size))), F.lit(","), record(F.lit("b")), F.lit("]"))
     pages = spark.range(1).select(F.col("id").alias("page"), body.alias("body"))
-    got = feed.read_feed(pages, FIELDS).select("pos", "reason", F.get("entries", F.lit(0))["string_value"].alias("v")).orderBy("pos").collect()
-    assert [(r["reason"], r["v"]) for r in got] == [(None, "a"), ("unreadable_record", None), (None, "b")]
+    value = F.get("entries", F.lit(0))["string_value"]
+    got = feed.read_feed(pages, FIELDS).select("pos", "reason", F.left(value, F.lit(1)).alias("v"), F.length(value).alias("n")).orderBy("pos").collect()
+    middle = (None, "x", size) if size < 1 << 27 else ("unreadable_record", None, None)
+    assert [(r["reason"], r["v"], r["n"]) for r in got] == [(None, "a", 1), middle, (None, "b", 1)]
+
+
+def test_a_string_that_holds_a_record_is_no_record(spark):
+    page = json.dumps([GOOD, json.dumps(GOOD)])
+    for strict, reasons in (("page", ["not_an_object"] * 2), ("record", [None, "not_an_object"])):
+        got = feed.read_feed(spark.createDataFrame([(0, page)], "page int, body string"), FIELDS, strict).orderBy("pos").collect()
+        assert [r["reason"] for r in got] == reasons
