@@ -2,6 +2,7 @@
 
 from catalog import (  # noqa: F401
     asset_queries,
+    export_queries,
     feed_queries,
     ledger_queries,
     sink_queries,

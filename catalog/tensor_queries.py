@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query, table
 from setwright.functions.tensors import encode_f32
-from setwright.operators.mean import image_channel_means, image_mean, subtract_mean, with_dim_check
+from setwright.operators.mean import image_channel_means, image_mean, mean_vector, subtract_mean, with_dim_check
 from setwright.sources.assets import raw_tensors
 
 CHANNELS = 4
@@ -74,7 +74,7 @@ def _subtracted(kind: str, group: str):
     @query(f"subtract_mean_{kind}", sql)
     def run(spark, sf_dir):
         x = tensors(spark, sf_dir)
-        mean = image_mean(x, "embedding", kind, CHANNELS)
+        mean = mean_vector(x, "embedding", kind, CHANNELS)
         less = subtract_mean(x, "embedding", mean, kind, CHANNELS)
         return less.select("vec_id", F.posexplode("embedding").alias("p", "x")).select(
             "vec_id", F.col("p").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 6).alias("v")

@@ -12,6 +12,8 @@ from setwright.functions.text import blob_path, is_hash_text
 from setwright.operators.entries import is_blob
 from setwright.operators.joins import lookup_join, needed_only
 from setwright.operators.ledger import Ledger, first_per_key, new_records, verify_feed, verify_records
+from setwright.operators.mean import KINDS, save_mean
+from setwright.plans.pixels import decode_images, subtract_from
 from setwright.session import exists, staged
 from setwright.sinks import blobfiles
 from setwright.sinks.writers import WRITERS, Context
@@ -77,19 +79,47 @@ def _with_payloads(records: DataFrame, assets: DataFrame | None, job: Job, keep_
     return attach_payloads(_opened(records, assets, job, keep_content), assets, keep_content)
 
 
-def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame) -> DataFrame:
-    """``(filename, content)`` of accepted records' blobs, each name once.
+def _with_pixels(ready: DataFrame, subtract: str | None, mean_format: str | None, mean_path: str) -> DataFrame:
+    """Records with decoded images, and with the mean subtracted from all raw entries if one is asked for."""
+    decoded = decode_images(staged(ready, "payloads"))
+    if subtract is None:
+        return staged(decoded, "decoded")
+    less, mean = subtract_from(staged(decoded, "decoded"), subtract)
+    if mean_format is not None:
+        save_mean(mean, mean_path, mean_format, subtract)
+    return staged(less, "subtracted")
 
-    Blobs that came out of archives are in the entries; the others are fetched
-    by URL here, so that the record rows never carry them.
-    """
-    blobs = (
+
+def _accepted_blobs(records: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The blob entries of accepted records."""
+    return (
         records.filter(F.col("reason").isNull())
         .join(accepted.select("seq", "member_pos"), ["seq", "member_pos"], "left_semi")
         .select(F.explode("entries").alias("e"))
         .filter(is_blob(F.col("e")))
         .select("e.filename", "e.url", "e.content")
     )
+
+
+def _inline_blobs(records: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``(filename, content)`` of accepted records whose entries all hold their bytes."""
+    return _accepted_blobs(records, accepted).select("filename", "content").dropDuplicates(["filename"])
+
+
+def _write_blobs(blobs: DataFrame, out: str, tree: bool) -> None:
+    """Each blob as a file under its name."""
+    blobfiles.register(blobs.sparkSession)
+    files = blobs.select(blob_path("filename", "", tree).alias("path"), "content")
+    files.write.format("blobfiles").mode("append").save(out)
+
+
+def _external_blobs(records: DataFrame, accepted: DataFrame, assets: DataFrame) -> DataFrame:
+    """``(filename, content)`` of accepted records' blobs, each name once.
+
+    Blobs that came out of archives are in the entries; the others are fetched
+    by URL here, so that the record rows never carry them.
+    """
+    blobs = _accepted_blobs(records, accepted)
     inline = blobs.filter(F.col("content").isNotNull()).select("filename", "content")
     wanted = blobs.filter(F.col("content").isNull()).select("filename", "url").distinct()
     asked = one_per_url(needed_only(assets.select("url", "content"), wanted, ["url"]))
@@ -110,6 +140,10 @@ def export(
     blobs: str = "auto",
     tree: bool = True,
     escape: bool = False,
+    iterations: int = 1,
+    decode: bool = False,
+    subtract: str | None = None,
+    mean_format: str | None = None,
     **options,
 ) -> Exported:
     """Write one batch of records and its ledger rows.
@@ -120,6 +154,11 @@ def export(
     be written come back in ``rejects``; none stops the batch. Repeating a batch
     by its name replaces its files and its ledger rows; without a name the batch
     is a new one and replaces nothing.
+
+    ``decode`` writes the pixels of images in place of their encoded bytes. ``subtract`` (``global``,
+    ``channel`` or ``pixel``) decodes images, takes the mean over all raw entries of the batch and writes the differences as
+    float tensors; ``mean_format`` keeps that mean below ``out`` (see ``save_mean``). ``iterations`` writes
+    every record so many times; copies of a record have one ledger row.
     """
     batch = batch or uuid.uuid4().hex
     writer = WRITERS[fmt.lower()]
@@ -128,6 +167,12 @@ def export(
         raise ValueError(f"{fmt} cannot be resumed")
     if blobs not in ("auto", "external"):
         raise ValueError("blobs is 'auto' or 'external'")
+    if subtract is not None and subtract not in KINDS:
+        raise ValueError(f"subtract is one of {KINDS}")
+    if mean_format is not None and subtract is None:
+        raise ValueError("mean_format needs subtract")
+    if (decode or subtract) and assets is None:
+        raise ValueError("decode and subtract need assets")
     spark, out = records.sparkSession, out.rstrip("/")
     ledger = open_ledger(spark, out, name or job.name, mode)
     if mode == "new" and exists(spark, f"{out}/{writer.folder}"):
@@ -141,7 +186,10 @@ def export(
     good = checked.filter(F.col("reason").isNull())
     fresh = new_records(good, ledger.hashes(without_batch=batch))
     fresh = staged(first_per_key(fresh, "api_hash", "seq"), "fresh")
-    ready = _with_payloads(fresh, assets, job, keep_content=not external)
+    changed = decode or subtract is not None
+    ready = _with_payloads(fresh, assets, job, keep_content=not external or changed)
+    if changed:
+        ready = _with_pixels(ready, subtract, mean_format, f"{out}/mean")
     if external:
         ready = with_reason(ready, name_defect)
 
@@ -149,18 +197,13 @@ def export(
         writer.encode(ready, Context(job, out, batch, ledger, tree, escape)), "encoded"
     )
     accepted = encoded.filter(F.col("reason").isNull())
-    if external and assets is not None:
+    if external and changed:
+        _write_blobs(_inline_blobs(ready, accepted), out, tree)
+    elif external and assets is not None:
         kept = fresh.join(accepted.select("seq").distinct(), "seq", "left_semi")
         with_bytes = _opened(kept, assets, job, keep_content=True)
-        blobfiles.register(spark)
-        (
-            _external_blobs(with_bytes, accepted, assets)
-            .select(blob_path("filename", "", tree).alias("path"), "content")
-            .write.format("blobfiles")
-            .mode("append")
-            .save(out)
-        )
-    writer.write(accepted, out, batch, options)
+        _write_blobs(_external_blobs(with_bytes, accepted, assets), out, tree)
+    writer.write(repeated(accepted, iterations).drop("iteration") if iterations > 1 else accepted, out, batch, options)
     names = accepted.groupBy("file_name").agg(F.min(F.struct("seq", "member_pos")).alias("first"))
     files = ledger.register_files(names, ["first"], batch)
     with_id = lookup_join(accepted, files, ["file_name"])
