@@ -8,6 +8,7 @@ from catalog.registry import D_SQL, FIELDS, JOB, SET_SQL, SPLITS, docs, entry_st
 from catalog.text_queries import LINE_SQL, doc_lines
 from setwright.functions.tensors import decode_f32, encode_f32
 from setwright.operators.numbering import group_positions, row_positions, running_totals
+from setwright.operators.shards import greedy_shards
 from setwright.plans.export import export
 from setwright.session import scratch_path
 from setwright.sinks import tfrecord
@@ -214,3 +215,19 @@ def shard_by_bytes(spark, sf_dir):
     return t.groupBy("set", F.floor(F.col("total_before") / 65536).alias("shard")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes")
     )
+
+
+@query(
+    "shard_greedy_bytes",
+    f"""WITH RECURSIVE {D_SQL},
+    R AS (SELECT "set", strlen(text) AS b, row_number() OVER (PARTITION BY "set" ORDER BY doc_id) AS k FROM D),
+    W("set", k, shard, held) AS (
+      SELECT "set", k, CAST(0 AS BIGINT), b FROM R WHERE k = 1
+      UNION ALL SELECT R."set", R.k, CASE WHEN held >= 65536 THEN shard + 1 ELSE shard END, CASE WHEN held >= 65536 THEN b ELSE held + b END
+      FROM W JOIN R ON R."set" = W."set" AND R.k = W.k + 1)
+    SELECT W."set" AS "set", shard, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM W JOIN R ON R."set" = W."set" AND R.k = W.k GROUP BY 1, 2""",
+)
+def shard_greedy_bytes(spark, sf_dir):
+    """Each set cut into shards that are closed once they hold 64 KiB of text, one after the other."""
+    d = docs(spark, sf_dir).select("set", "doc_id", F.octet_length("text").cast("bigint").alias("b"))
+    return greedy_shards(d, "set", ["doc_id"], "b", 65536).groupBy("set", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"))

@@ -9,9 +9,10 @@ offset. The only thing that is broadcast has one row per partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +25,12 @@ _SLOT_BITS = 33
 ROWS_PER_PARTITION = 1_000_000
 
 
-def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None, amount: str | None = None) -> DataFrame:
     """Stage ``df`` range-partitioned by ``order``, with its slot in ``_part`` and ``_idx``.
 
-    ``order`` must be a total order. Since every key is distinct, ranges stay
-    even when a leading column (the set) has one hot value. The number of
-    ranges follows the number of rows.
+    Rows that tie in ``order`` stay apart: they have different slots, in any order. As long as few tie, ranges
+    stay even when a leading column (the set) has one hot value. The number of
+    ranges follows the number of rows. ``amount`` adds ``_run``, its sum over the earlier rows of the range.
     """
     parts = max(1, -(-(df.count() if rows is None else rows) // ROWS_PER_PARTITION))
     slots = (
@@ -37,14 +38,34 @@ def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None) -> Da
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
+    if amount is not None:
+        slots = _with_run(slots, amount)
     return (
         staged(slots, "ordered")
-        .withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
+        .withColumn("_part", F.shiftright("_slot", _SLOT_BITS).cast("int"))
         .withColumn("_idx", F.col("_slot").bitwiseAND((1 << _SLOT_BITS) - 1))
         .drop("_slot")
     )
 
 
+def _with_run(rows: DataFrame, amount: str) -> DataFrame:
+    """Add the sum of ``amount`` (whole numbers or doubles; null is 0) over the rows before each one in its task."""
+    kind = "double" if rows.schema[amount].dataType.typeName() in ("double", "float") else "bigint"
+    asked = rows.withColumn("_run", F.coalesce(F.col(amount).cast(kind), F.lit(0).cast(kind)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            values = batch.column("_run").to_numpy()
+            total = np.cumsum(values)
+            at = batch.schema.get_field_index("_run")
+            yield batch.set_column(at, "_run", pa.array(total - values + before))
+            before += total[-1] if len(total) else 0
+
+    return asked.mapInArrow(run, fields)
+
+
 def _before(ordered: DataFrame, amount: Column, name: str) -> DataFrame:
     """Per partition, the total of ``amount`` over all earlier partitions; one row per partition."""
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,19 +79,13 @@ def _before(ordered: DataFrame, amount: Column, name: str) -> DataFrame:
 def row_positions(
     df: DataFrame, order: Sequence[str], name: str = "position", rows: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in ``order`` over the whole table.
+    """Add the 0-based position of each row in ``order`` over the whole table; rows that tie come in any order.
 
-    Only the ``order`` columns are sorted; wide rows get their position by a join
-    on them (they are unique, as a total order is).
+    Rows are sorted once, as a whole, and keep their slot, so none is looked for by its values again.
     """
-    ordered = in_order(df.select(*order), order, rows)
+    ordered = in_order(df, order, rows)
     base = F.broadcast(_before(ordered, F.count(F.lit(1)), "_base"))
-    numbered = ordered.join(base, "_part").select(*order, (F.col("_base") + F.col("_idx")).alias(name))
-    if set(df.columns) == set(order):
-        return numbered.select(*df.columns, name)
-    renamed = numbered.select(*[F.col(c).alias(f"_by_{c}") for c in order], name)
-    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(renamed[f"_by_{c}"]) for c in order])
-    return df.join(renamed, same).select(*[df[c] for c in df.columns], renamed[name])
+    return ordered.join(base, "_part").select(*df.columns, (F.col("_base") + F.col("_idx")).alias(name))
 
 
 def group_positions(
@@ -84,28 +99,28 @@ def group_positions(
     )
 
 
+def _running(df: DataFrame, group: str, order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """``df`` with ``_part``, ``_idx`` and the sum of ``amount`` over the earlier rows of the group."""
+    ordered = in_order(df, [group, *order], amount=amount)
+    # A row per range, and one more per group. All that follows is small but the join of the rows, which
+    # adaptive execution makes a broadcast join.
+    cells = ordered.groupBy(group, "_part").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("_sum"), F.min_by("_run", "_idx").alias("_first"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cells.groupBy("_part").agg(F.sum("_sum").alias("_sum"))
+    base = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    placed = cells.join(base, cells["_part"] == base["_p"]).select(F.col(group).alias("_group"), "_p", "_base", (F.col("_base") + F.col("_first")).alias("_at"))
+    # Amounts may be negative, so a group starts with the total at its first row, not the least one.
+    starts = placed.groupBy("_group").agg(F.min_by("_at", "_p").alias("_start")).withColumnRenamed("_group", "_g")
+    offsets = placed.join(starts, placed["_group"].eqNullSafe(starts["_g"])).select("_group", "_p", (F.col("_base") - F.col("_start")).alias("_offset"))
+    met = ordered.join(offsets, (ordered["_part"] == offsets["_p"]) & ordered[group].eqNullSafe(offsets["_group"]))
+    return met.select(*df.columns, "_part", "_idx", (F.col("_run") + F.col("_offset")).alias(name))
+
+
 def running_totals(
     df: DataFrame, group: str, order: Sequence[str], amount: str, name: str = "total_before"
 ) -> DataFrame:
     """Add the sum of ``amount`` over the earlier rows of the same group; NULL is a group."""
-    ordered = in_order(df, [group, *order])
-    base = F.broadcast(_before(ordered, F.sum(amount), "_base"))
-    # Each window group is one range partition, so it is bounded by its size.
-    inside = Window.partitionBy("_part").orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)
-    running = staged(
-        ordered.join(base, "_part").select(
-            *df.columns,
-            (F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).alias("_total"),
-            "_part",
-            "_idx",
-        ),
-        "running",
-    )
-    # Amounts may be negative, so the start is the total at the group's first row, not the least one.
-    starts = running.groupBy(group).agg(F.min_by("_total", F.struct("_part", "_idx")).alias("_start"))
-    return lookup_join(running, starts, [group], null_safe=True).select(
-        *df.columns, (F.col("_total") - F.col("_start")).alias(name)
-    )
+    return _running(df, group, order, amount, name).select(*df.columns, name)
 
 
 def dense_ids(

@@ -190,3 +190,37 @@ def test_save_mean(spark, images, tmp_path, fmt):
     else:
         back = spark.read.format(fmt).option("header", True).load(path)
         assert sorted((int(r["i"]), float(r["m"])) for r in back.collect())[1] == (1, 30.0)
+
+
+def test_ties_do_not_multiply_rows(spark, many_partitions):
+    rows = [(k // 3, k, "a" if k % 2 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, v int, g string")
+    placed = numbering.row_positions(df.select("k", "v"), ["k"]).collect()
+    assert sorted(r["position"] for r in placed) == list(range(60)) and len({r["v"] for r in placed}) == 60
+    assert [r["k"] for r in sorted(placed, key=lambda r: r["position"])] == [k // 3 for k in range(60)]
+    totals = numbering.running_totals(df, "g", ["k"], "k").collect()
+    assert len(totals) == 60
+    assert sorted(r["position"] for r in numbering.group_positions(df, "g", ["k"]).collect()) == sorted([*range(30), *range(30)])
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 10_000])
+def test_greedy_shards(spark, many_partitions, limit):
+    """Shards over many ranges, longer and shorter than one, with empty rows, a huge one and ties."""
+    import random
+
+    from setwright.operators.shards import greedy_shards
+
+    rng = random.Random(limit)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k // 2, k, rng.choice([0, 0, 1, 2, 3, 5, None, 500 if rng.random() < 0.02 else 4])) for k in range(400)]
+    rows.append(("only", 0, 1000, 0))
+    df = spark.createDataFrame(rows, "g string, k int, id int, b bigint").repartition(3)
+    got = {r["id"]: r["shard"] for r in greedy_shards(df, "g", ["k", "id"], "b", limit).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        shard, held = 0, 0
+        for _, _, i, b in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            if held >= limit:
+                shard, held = shard + 1, 0
+            want[i], held = shard, held + (b or 0)
+    assert got == want
+    assert greedy_shards(df.limit(0), "g", ["k", "id"], "b", limit).count() == 0
