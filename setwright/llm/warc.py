@@ -1,6 +1,9 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by their key, so that shard ``i`` holds smaller keys than shard ``i + 1``. Each
+Records are range-sorted by their key, so that shard ``i`` holds smaller keys than shard ``i + 1``. A shard is a
+range of about ``shard_bytes`` of payload. Its bounds come from the rows alone, as running totals of payload bytes in key
+order over a narrow table of keys, digests and sizes, and each row finds its shard by a binary search in them; so the
+same rows give the same shards, files and bytes, however they are dealt over tasks. Each
 range is written by one task, record by record, each record one gzip member; a file is closed
 when it has reached ``roll_bytes`` compressed, and the next one begun. Headers and digests are
 made anew from the payload; record ids and gzip headers hold no time and no chance, so a task that runs
@@ -9,11 +12,13 @@ manifest (a Parquet table: file, records, bytes, SHA-1 of the file) is written l
 reader opens what the manifest names and nothing else.
 
 Of records with equal payloads of at least ``revisit_bytes`` bytes the one with the largest key holds the
-payload (``response``); the others refer to it (``revisit``) and carry its digest and length.
+payload (``response``); the others refer to it (``revisit``) and carry its digest and length. Who refers to whom is
+found among keys and digests; these narrow rows meet the payloads in the shards, so payload bytes are shuffled once.
 
 Defined results: a null payload is empty; records with the same largest key and equal payloads (repeated
 rows) are all responses; a null key sorts first and is the largest only among nulls; an empty table
-gives an empty manifest and no files. Extra columns are ignored.
+gives an empty manifest and no files. Line breaks and ``%`` in keys and addresses are escaped in headers.
+Extra columns are ignored.
 
 Files are written and read through pyarrow on whatever file system the folder's address names.
 """
@@ -28,14 +33,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setwright.llm.textarrays import small_batches
+from setwright.operators.numbering import running_totals
 from setwright.session import scratch_path, staged
 from setwright.sinks.shared_files import open_base
 
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a shard, before compression, with a header's worth for each record.
+SHARD_BYTES = 32 << 20
+_HEADER_BYTES = 512
 _COMPRESSION = 3
 _CHUNK = 1 << 20
 _PAD = b"\r\n\r\n"
@@ -53,6 +62,15 @@ def record_id(key: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
 
 
+def _escaped(value: str) -> str:
+    """A line break would end the header."""
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _unescaped(value: str | None) -> str | None:
+    return None if value is None else value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+
+
 def record(key: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit without the payload."""
     digest = base32_sha1(payload)
@@ -71,14 +89,13 @@ def record(key: str | None, url: str | None, payload: bytes, refers_to: str | No
         f"Content-Length: {len(body)}",
     ]
     if url:
-        # A line break would end the header.
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append(f"WARC-Target-URI: {_escaped(url)}")
     if key is not None:
-        lines.append(f"X-Record-Key: {key}")
+        lines.append(f"X-Record-Key: {_escaped(key)}")
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         lines.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
-        lines.append(f"X-Refers-To-Key: {refers_to}")
+        lines.append(f"X-Refers-To-Key: {_escaped(refers_to)}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + _PAD + body + _PAD
 
 
@@ -124,27 +141,37 @@ class _Shard:
         self.number += 1
 
 
-def with_roles(pages: DataFrame, key: str, payload: str, url: str | None, revisit_bytes: int) -> DataFrame:
-    """Columns ``key, url, payload`` and ``refers_to`` (null for a response).
-
-    Payloads stay where they are read: digests are combined to the largest key of each payload before
-    they are shuffled, and the narrow answer is joined back.
-    """
-    rows = pages.select(
-        pages[key].alias("key"),
-        (pages[url].cast("string") if url else F.lit(None).cast("string")).alias("url"),
-        F.encode(F.coalesce(pages[payload].cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
-    long_enough = rows.filter(F.octet_length("payload") >= revisit_bytes)
+def references(narrow: DataFrame, revisit_bytes: int) -> DataFrame:
+    """``key, tie, refers_to`` of the revisits among rows ``key, tie, size`` (``tie`` is the payload's digest)."""
+    long_enough = narrow.filter(F.col("size") >= revisit_bytes)
     # Only payloads that occur under more than one key have revisits.
+    several = F.col("newest").isNotNull() & ((F.col("newest") != F.col("oldest")) | (F.col("nulls") > 0))
     shared = staged(
-        long_enough.groupBy(F.col("digest").alias("of")).agg(F.max("key").alias("newest"), F.min("key").alias("oldest"), F.count_if(F.col("key").isNull()).alias("nulls"))
-        .filter("newest IS NOT NULL AND (newest != oldest OR nulls > 0)")
-        .select("of", "newest"),
+        long_enough.groupBy(F.col("tie").alias("of")).agg(F.max("key").alias("newest"), F.min("key").alias("oldest"), F.count_if(F.col("key").isNull()).alias("nulls"))
+        .filter(several).select("of", "newest"),
         "shared_payloads",
     )
-    refers = F.when((F.octet_length("payload") >= revisit_bytes) & ~F.col("key").eqNullSafe(F.col("newest")), F.col("newest"))
-    return rows.join(shared, rows["digest"] == shared["of"], "left").select("key", "url", "payload", refers.alias("refers_to"))
+    met = long_enough.join(shared, long_enough["tie"] == shared["of"]).filter(~F.col("key").eqNullSafe(F.col("newest")))
+    return staged(met.select("key", "tie", F.col("newest").alias("refers_to")).distinct(), "references")
+
+
+def shard_bounds(narrow: DataFrame, shard_bytes: int) -> DataFrame:
+    """The first ``(key, tie)`` of every shard but the first, as one row ``bounds`` of one entry per shard."""
+    sized = narrow.select("key", "tie", (F.col("size") + _HEADER_BYTES).cast("bigint").alias("weight"), F.lit(0).alias("all"))
+    before = running_totals(sized, "all", ["key", "tie"], "weight", "before")
+    first = before.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min(F.struct("key", "tie")).alias("bound"))
+    return staged(first.filter("shard > 0").agg(F.sort_array(F.collect_list("bound")).alias("bounds")), "bounds")
+
+
+def _shard(steps: int) -> Column:
+    """How many bounds a row's ``(key, tie)`` has reached: a binary search by halving steps."""
+    row, held = F.struct("key", "tie"), F.col("_bounds")
+
+    def step(at: Column, width: Column) -> Column:
+        reached = (at + width <= F.size(held)) & (F.get(held, at + width - 1) <= row)
+        return F.when(reached, at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), step)
 
 
 def write_warc(
@@ -153,35 +180,60 @@ def write_warc(
     key: str = "page_id",
     payload: str = "html",
     url: str | None = "url",
-    shards: int | None = None,
+    shard_bytes: int = SHARD_BYTES,
     roll_bytes: int = ROLL_BYTES,
     revisit_bytes: int = 0,
     date: str = "1970-01-01T00:00:00Z",
 ) -> DataFrame:
     """Write one record per row below ``path`` and return the manifest as committed."""
     spark = pages.sparkSession
-    roled = with_roles(pages, key, payload, url, revisit_bytes)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = roled.withColumn("tie", F.sha1("payload"))
-    ordered = ordered.repartitionByRange(shards, "key", "tie").sortWithinPartitions("key", "tie", "url")
+    rows = pages.select(
+        pages[key].alias("key"),
+        (pages[url].cast("string") if url else F.lit(None).cast("string")).alias("url"),
+        F.encode(F.coalesce(pages[payload].cast("string"), F.lit("")), "UTF-8").alias("payload"),
+    ).withColumn("tie", F.unhex(F.sha1("payload")))
+    narrow = staged(rows.select("key", "tie", F.octet_length("payload").cast("bigint").alias("size")), "keys")
+    refers = references(narrow, revisit_bytes)
+    bounds = shard_bounds(narrow, shard_bytes)
+    shards = bounds.select(F.size("bounds")).first()[0] + 1
+
+    def dealt(side: DataFrame) -> DataFrame:
+        placed = side.withColumn("_bounds", bounds.scalar())
+        return placed.withColumn("shard", _shard(shards.bit_length())).drop("_bounds")
+
+    kind = narrow.schema["key"].dataType.simpleString()
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    marks = refers.select("key", "tie", none("url", "string"), none("payload", "binary"), "refers_to", F.lit(0).alias("row"))
+    written = rows.select("key", "tie", "url", "payload", none("refers_to", kind), F.lit(1).alias("row"))
+    # What a record refers to comes just before it.
+    ordered = dealt(marks).unionByName(dealt(written)).repartition(shards, "shard").sortWithinPartitions("shard", "key", "tie", "row", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = _Shard(path, TaskContext.get().partitionId(), roll_bytes)
+        out, mark, closed = None, (None, None, None), []
         for batch in batches:
             for i in range(batch.num_rows):
-                k, u, p, r = (batch.column(c)[i].as_py() for c in ("key", "url", "payload", "refers_to"))
-                shard.add(record(None if k is None else str(k), u, p, None if r is None else str(r), date))
-        shard.close()
-        columns = list(zip(*shard.closed)) or [[]] * 5
+                n, k, t, u, p, r, row = (batch.column(c)[i].as_py() for c in ("shard", "key", "tie", "url", "payload", "refers_to", "row"))
+                if row == 0:
+                    mark = (k, t, r)
+                    continue
+                if out is None or out.shard != n:
+                    if out is not None:
+                        out.close()
+                        closed += out.closed
+                    out = _Shard(path, n, roll_bytes)
+                refers_to = str(mark[2]) if mark[1] is not None and mark[:2] == (k, t) else None
+                out.add(record(None if k is None else str(k), u, p, refers_to, date))
+        if out is not None:
+            out.close()
+            closed += out.closed
+        columns = list(zip(*closed)) or [[]] * 5
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, kinds)], names=["file", "shard", "records", "bytes", "sha1"]
         )
 
     manifest = f"{path}/_manifest"
-    small_batches(ordered.drop("tie")).mapInArrow(run, MANIFEST).write.parquet(manifest)
+    small_batches(ordered).mapInArrow(run, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
@@ -240,8 +292,7 @@ def read_warc(spark, path: str, key_type: str = "bigint", payloads: bool = False
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = manifest.select("file").repartition(slots, "file").mapInArrow(run, kind)
+    found = manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(run, kind)
     out = found.select(
         F.col("key").cast(key_type).alias("key"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(key_type).alias("refers_to"), "url", "payload",
@@ -256,12 +307,9 @@ def _row(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
         length, found = len(block), base32_sha1(block)
         if found != digest:
             raise ValueError("a record's payload does not match its digest")
-    url = headers.get("WARC-Target-URI")
-    if url is not None:
-        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
     return (
-        headers.get("X-Record-Key"), length, digest, kind, headers.get("X-Refers-To-Key"), url,
-        block if payloads and kind == "response" else None,
+        _unescaped(headers.get("X-Record-Key")), length, digest, kind, _unescaped(headers.get("X-Refers-To-Key")),
+        _unescaped(headers.get("WARC-Target-URI")), block if payloads and kind == "response" else None,
     )
 
 

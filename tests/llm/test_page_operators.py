@@ -75,14 +75,14 @@ ROWS = [(1, "a%0D\nb: c", "x"), (2, "u", "x"), (2, "u", "x"), (None, None, "x"),
 @pytest.mark.parametrize("least", [0, 2])
 def test_warc_roundtrip(spark, least):
     df = spark.createDataFrame(ROWS, "page_id bigint, url string, html string")
-    got = warc.warc_roundtrip(df, revisit_bytes=least, roll_bytes=300, shards=3).collect()
+    got = warc.warc_roundtrip(df, revisit_bytes=least, roll_bytes=300, shard_bytes=1500).collect()
     assert sorted(map(tuple, got), key=repr) == roles(ROWS, least)
 
 
 def test_warc_payloads_urls_and_order(spark):
     path = scratch_path(spark, "warc-test")
     rows = [(k, f"http://h/{k}", f"page {k} " * 50) for k in range(60)]
-    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5), path, shards=4, roll_bytes=1000)
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5), path, shard_bytes=14_000, roll_bytes=1000)
     files = manifest.orderBy("file").collect()
     assert len(files) > 4 and sum(f.records for f in files) == 60
     back = warc.read_warc(spark, path, payloads=True).collect()
@@ -104,9 +104,34 @@ def test_warc_payloads_urls_and_order(spark):
 def test_warc_writes_the_same_bytes_again(spark):
     df = spark.createDataFrame(ROWS, "page_id bigint, url string, html string")
     runs = [
-        sorted(map(tuple, warc.write_warc(df.repartition(n), scratch_path(spark, "warc-test"), shards=2).collect())) for n in (1, 4)
+        sorted(map(tuple, warc.write_warc(df.repartition(n), scratch_path(spark, "warc-test"), shard_bytes=1500).collect())) for n in (1, 4)
     ]
-    assert runs[0] == runs[1]
+    assert runs[0] == runs[1] and len({r[1] for r in runs[0]}) > 1
+
+
+def test_warc_is_the_same_for_many_rows(spark):
+    """Shards, files and bytes follow from the rows, not from how they are dealt or sampled."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.lit("x"), (F.col("id") * 7 % 300).cast("int")).alias("html")
+    )
+    runs = []
+    for n in (3, 11):
+        manifest = warc.write_warc(df.repartition(n, F.xxhash64("page_id", F.lit(n))), scratch_path(spark, "warc-test"), shard_bytes=1 << 20, roll_bytes=1 << 18)
+        runs.append(sorted(map(tuple, manifest.collect())))
+    assert runs[0] == runs[1] and sum(r[2] for r in runs[0]) == 20_000 and len({r[1] for r in runs[0]}) > 10
+
+
+def test_warc_keys_of_any_text(spark):
+    """Keys with line breaks and escapes, next to columns named like those used inside."""
+    rows = [("a\r\nWARC-Type: x", "u%\n", "one"), ("b%0D", "v", "one"), ("b\r", "v", "two"), ("", None, ""), (None, "w", "two"), (None, "w", "two")]
+    df = spark.createDataFrame([(*r, 1, 2, "z", 0) for r in rows], "page_id string, url string, html string, key int, shard int, tie string, row int")
+    got = warc.warc_roundtrip(df, shard_bytes=1200).collect()
+    assert sorted(map(tuple, got), key=repr) == roles(rows, 0)
+    path = scratch_path(spark, "warc-test")
+    warc.write_warc(df, path)
+    assert sorted((r.key or "", r.url or "") for r in warc.read_warc(spark, path, "string").collect()) == sorted((k or "", u or "") for k, u, _ in rows)
 
 
 def test_warc_refuses_damage():
