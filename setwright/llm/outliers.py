@@ -33,6 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setwright.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast
 from setwright.session import staged
 
 SUPPORT = 0.75
@@ -160,13 +161,13 @@ def _levels(good: DataFrame, group: list[str]) -> DataFrame:
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _at(rows: DataFrame, table: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
-    """Rows with the columns of their group's row of ``table``; null is a group."""
+def _at(rows: DataFrame, table: DataFrame, group: list[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Rows with the columns of their group's row of ``table``; null is a group. ``few`` groups, as measured, are broadcast."""
     side = table.select(*[F.col(g).alias(f"_g_{g}") for g in group], *[c for c in table.columns if c not in group])
     same = F.lit(True)
     for g in group:
         same = same & rows[g].eqNullSafe(side[f"_g_{g}"])
-    return rows.join(side, same, how).drop(*[f"_g_{g}" for g in group])
+    return rows.join(F.broadcast(side) if few else side, same, how).drop(*[f"_g_{g}" for g in group])
 
 
 def _scales(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -230,10 +231,10 @@ def _model(sums: DataFrame, n: Column, total, product, keys: list[str], scales:
     return staged(_factored(met.select(*keys, *means, *cov), _RIDGE), "estimate")
 
 
-def _starts(rows: DataFrame, scales: DataFrame, group: list[str]) -> DataFrame:
+def _starts(rows: DataFrame, scales: DataFrame, group: list[str], few: bool) -> DataFrame:
     """Four first estimates per group, all centred at the median."""
     z = [f"z{j}" for j in range(P)]
-    measured = _at(rows, scales, group).select(*group, *[_z(j).alias(f"z{j}") for j in range(P)])
+    measured = _at(rows, scales, group, few=few).select(*group, *[_z(j).alias(f"z{j}") for j in range(P)])
     length = F.sqrt(sum((F.col(x) * F.col(x) for x in z[1:]), F.col(z[0]) * F.col(z[0])))
     inside = F.greatest(*[F.abs(F.col(x)) for x in z]) <= 2
     kinds = {
@@ -255,9 +256,10 @@ def _starts(rows: DataFrame, scales: DataFrame, group: list[str]) -> DataFrame:
     return _model(flat, F.lit(1.0), lambda i: F.lit(0.0), lambda i, j: F.col(f"p{i}{j}"), [*group, "start"], scales, group)
 
 
-def _concentrated(rows: DataFrame, model: DataFrame, scales: DataFrame, group: list[str]) -> DataFrame:
+def _concentrated(rows: DataFrame, model: DataFrame, scales: DataFrame, group: list[str], few: bool) -> DataFrame:
     """One step from each estimate of ``model``: that of the nearest ``SUPPORT`` share of its group."""
-    met = _at(_at(rows, scales, group), model.select(*group, "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _PAIRS]), group)
+    numbers = model.select(*group, "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in _PAIRS])
+    met = _at(_at(rows, scales, group, few=few), numbers, group, few=few)
     for i in range(P):
         rest = _z(i) - F.col(f"m{i}")
         for k in range(i):
@@ -291,9 +293,11 @@ def mcd(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
     ``rows`` has the statistics ``x0`` .. as integers.
     """
     scales = _scales(rows, group)
-    model = _starts(rows, scales, group)
+    # An estimate has four rows a group, twice as long as the units.
+    few = fits_broadcast(scales, BROADCAST_ROWS // 8, BROADCAST_BYTES // 8)
+    model = _starts(rows, scales, group, few)
     for _ in range(FIRST_STEPS):
-        model = _concentrated(rows, model, scales, group)
+        model = _concentrated(rows, model, scales, group, few)
     numbers = [c for c in model.columns if c not in (*group, "start")]
     best = model.groupBy(*group).agg(F.min(F.struct("det", "start", *[c for c in numbers if c != "det"])).alias("b"))
     state = staged(best.select(*group, F.col("b.start").alias("start"), *[F.col(f"b.{c}").alias(c) for c in numbers], F.lit(True).alias("live")), "state")
@@ -301,7 +305,7 @@ def mcd(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
         live = state.filter("live")
         if live.isEmpty():
             break
-        new = _concentrated(rows, live, scales, group).select(*group, F.struct(*numbers).alias("new"))
+        new = _concentrated(rows, live, scales, group, few).select(*group, F.struct(*numbers).alias("new"))
         met = _at(state, new, group, "left")
         lower = F.coalesce(F.col("new.det") < F.col("det") * (1 - AT_REST), F.lit(False))
         state = staged(
