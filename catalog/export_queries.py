@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.asset_queries import BYTE_SQL, _png_of
-from catalog.registry import SET_SQL, SPLITS, entry_struct, query, set_of, table
+from catalog.registry import SET_SQL, SPLITS, docs, entry_struct, query, set_of, table
 from setwright.functions.tensors import decode_f32, encode_f32
-from setwright.plans.export import export
+from setwright.operators.ledger import Ledger
+from setwright.plans.export import export, ledger_path, written_files
 from setwright.session import scratch_path
 from setwright.sinks import tfrecord
+from setwright.sinks.writers import WRITERS
 from setwright.sources.job import Field, Job
 
 X_SET = SET_SQL.format(k="vec_id")
@@ -109,3 +111,74 @@ def export_decoded(spark, sf_dir):
         rows = rows.unionByName(done.rejects.select(F.lit(fmt).alias("fmt"), "set", "reason"), allowMissingColumns=True)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+FORMATS = ("csv", "jsonl", "tensor", "tfrecords")
+
+
+@query(
+    "export_receipts",
+    f"""WITH D AS (SELECT {SET_SQL.format(k="doc_id")} AS "set" FROM documents)
+    SELECT fmt, "set", count(*) AS records, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS unlisted FROM D,
+      (VALUES ('csv'), ('jsonl'), ('tensor'), ('tfrecords')) AS f(fmt) GROUP BY 1, 2""",
+)
+def export_receipts(spark, sf_dir):
+    """Documents exported in two batches: every ledger row names a file that holds its record, and the index lists no other files."""
+    d = docs(spark, sf_dir)
+    entries = F.array(
+        entry_struct(0, "string", string_value=F.col("source")), entry_struct(1, "string", string_value=F.col("lang")),
+        entry_struct(2, "numeric", dtype=F.lit("int"), int_value=F.col("doc_id").cast("int")),
+    )
+    records = d.select("seq", "set", "api_hash", entries.alias("entries"), F.lit(None).cast("string").alias("reason"))
+    job = Job(0, "documents", (Field(0, 10, "source"), Field(1, 11, "lang"), Field(2, 12, "id")), SPLITS)
+    shards = {"tfrecords": {"entriesPerShard": 100}, "tensor": {"rowsPerShard": 100}}
+    out = None
+    for fmt in FORMATS:
+        path = scratch_path(spark, f"receipts-{fmt}")
+        for k, mode in enumerate(("new", "resume")):
+            export(records.filter(F.col("seq") % 2 == k), job, path, fmt, mode=mode, batch=str(k), **shards.get(fmt, {}))
+        ledger = Ledger.open(spark, ledger_path(path))
+        named = ledger.hashes().join(ledger.table("files").select("file_id", "file_name"), "file_id")
+        named = named.select("file_name", F.lower(F.hex("record_hash")).alias("record_hash"))
+        held = WRITERS[fmt].rescan(spark, path).select("file_name", "record_hash").distinct()
+        lost = named.join(held.withColumn("there", F.lit(True)), ["file_name", "record_hash"], "left").filter("there IS NULL")
+        index = written_files(spark, path, fmt)
+        unlisted = index.join(named.select("file_name").distinct(), "file_name", "left_anti")
+        per_set = lambda rows, name: rows.groupBy(F.regexp_extract("file_name", "/set=([^/]+)/", 1).alias("set")).agg(F.count(F.lit(1)).alias(name))
+        rows = per_set(named, "records").join(per_set(lost, "lost"), "set", "left").join(per_set(unlisted, "unlisted"), "set", "left")
+        rows = rows.select(F.lit(fmt).alias("fmt"), "set", "records", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("unlisted", F.lit(0)).alias("unlisted"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "tensor_rescan",
+    """SELECT md5(CAST(source AS VARCHAR)) || md5(lang) || md5(CAST(doc_id AS VARCHAR)) AS record_hash, count(*) AS n FROM documents GROUP BY 1""",
+)
+def tensor_rescan(spark, sf_dir):
+    """Tensor shards written by an export, read back and hashed field by field."""
+    d = docs(spark, sf_dir)
+    entries = F.array(
+        entry_struct(0, "string", string_value=F.col("source")), entry_struct(1, "string", string_value=F.col("lang")),
+        entry_struct(2, "numeric", dtype=F.lit("int"), int_value=F.col("doc_id").cast("int")),
+    )
+    records = d.select("seq", "set", "api_hash", entries.alias("entries"), F.lit(None).cast("string").alias("reason"))
+    job = Job(0, "documents", (Field(0, 10, "source"), Field(1, 11, "lang"), Field(2, 12, "id")), SPLITS)
+    path = scratch_path(spark, "rescan")
+    export(records, job, path, "tensor", rowsPerShard=256)
+    return WRITERS["tensor"].rescan(spark, path).groupBy("record_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ledger_lookup",
+    """SELECT 'records:' || source AS key, CAST(count(*) AS VARCHAR) AS value FROM documents GROUP BY source
+    UNION ALL SELECT 'nobody', NULL""",
+)
+def ledger_lookup(spark, sf_dir):
+    """Values of a ledger looked up one key at a time, and one that is not there."""
+    ledger = Ledger.create(spark, scratch_path(spark, "lookup"), "documents")
+    per_source = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("records:"), "source").alias("key"), F.col("n").cast("string").alias("value"))
+    ledger.append("metadata", per_source, "sources")
+    keys = table(spark, sf_dir, "documents").select(F.concat(F.lit("records:"), "source").alias("key")).distinct()
+    asked = keys.agg(F.sort_array(F.collect_list("key")).alias("k")).first()["k"] + ["nobody"]
+    return spark.createDataFrame([(k, ledger.get_metadata(k)) for k in asked], "key string, value string")

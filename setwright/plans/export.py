@@ -16,7 +16,7 @@ from setwright.operators.mean import KINDS, save_mean
 from setwright.plans.pixels import decode_images, subtract_from
 from setwright.session import exists, staged
 from setwright.sinks import blobfiles
-from setwright.sinks.writers import WRITERS, Context
+from setwright.sinks.writers import WRITERS, Context, SetWriter
 from setwright.sources.archives import expand_archives, holds_archive
 from setwright.sources.assets import attach_payloads, name_defect, one_per_url, unopened_defect, with_reason
 from setwright.sources.job import Job
@@ -90,6 +90,26 @@ def _with_pixels(ready: DataFrame, subtract: str | None, mean_format: str | None
     return staged(less, "subtracted")
 
 
+def _placed(accepted: DataFrame, writer: SetWriter, spark: SparkSession, out: str, batch: str) -> DataFrame:
+    """Accepted records with the file that each one is in, as found in the files themselves.
+
+    Equal records of a set share the first file that holds them. With ``integrity`` it is an error if any
+    record cannot be read back.
+    """
+    receipts = writer.rescan(spark, out, batch).groupBy("set", "record_hash").agg(F.min("file_name").alias("file_name"))
+    narrow = accepted.select("seq", "set", "api_hash", "member_pos", "record_hash")
+    placed = staged(narrow.join(receipts, ["set", "record_hash"], "left"), "receipts")
+    if writer.capabilities.integrity and not placed.filter(F.col("file_name").isNull()).isEmpty():
+        raise RuntimeError(f"records of batch {batch} are not in the files written for it")
+    return placed
+
+
+def written_files(spark: SparkSession, out: str, fmt: str) -> DataFrame:
+    """The shard index: ``set``, ``file_name`` and ``records`` of every file of an export that holds any."""
+    found = WRITERS[fmt.lower()].rescan(spark, out.rstrip("/"))
+    return found.groupBy("set", "file_name").agg(F.count(F.lit(1)).alias("records"))
+
+
 def _accepted_blobs(records: DataFrame, accepted: DataFrame) -> DataFrame:
     """The blob entries of accepted records."""
     return (
@@ -204,12 +224,13 @@ def export(
         with_bytes = _opened(kept, assets, job, keep_content=True)
         _write_blobs(_external_blobs(with_bytes, accepted, assets), out, tree)
     writer.write(repeated(accepted, iterations).drop("iteration") if iterations > 1 else accepted, out, batch, options)
-    names = accepted.groupBy("file_name").agg(F.min(F.struct("seq", "member_pos")).alias("first"))
+    placed = _placed(accepted, writer, spark, out, batch)
+    names = placed.groupBy("file_name").agg(F.min(F.struct("seq", "member_pos")).alias("first"))
     files = ledger.register_files(names, ["first"], batch)
-    with_id = lookup_join(accepted, files, ["file_name"])
+    with_id = lookup_join(placed, files, ["file_name"])
     ledger.append_hashes(with_id, batch)
     return Exported(
-        accepted.select("seq", "set", "api_hash", "member_pos", "record_hash", "file_name"),
+        placed.select("seq", "set", "api_hash", "member_pos", "record_hash", "file_name"),
         bad.select(*_REJECT).unionByName(
             encoded.filter(F.col("reason").isNotNull()).select(*_REJECT)
         ),

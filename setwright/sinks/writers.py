@@ -1,8 +1,8 @@
 """The output formats: one record to one written row, its hash, and back.
 
-A writer turns records into a frame with ``set``, ``file_name``,
+A writer turns records into a frame with ``set``,
 ``record_hash``, a ``payload`` (what is written) and ``reason``; writes accepted
-rows of one batch; and re-reads a whole export as ``(set, record_hash)``.
+rows of one batch; and re-reads a batch or a whole export as ``(set, record_hash, file_name)``.
 """
 
 from __future__ import annotations
@@ -66,10 +66,17 @@ class SetWriter(ABC):
         """Truncate what earlier batches wrote."""
 
     @abstractmethod
-    def rescan(self, spark: SparkSession, root: str) -> DataFrame: ...
+    def rescan(self, spark: SparkSession, root: str, batch: str | None = None) -> DataFrame:
+        """``set``, ``record_hash`` and ``file_name`` (below ``root``) of every record in the files, of one batch or all."""
 
-    def file_name(self) -> Column:
-        return F.concat("set", F.lit(f".{self.extension}"))
+    def _written(self, root: str, batch: str | None) -> str:
+        """The folder to read; a batch is a folder of its own, so only its files are opened."""
+        return f"{root}/{self.folder}" if batch is None else f"{root}/{self.folder}/batch={batch}"
+
+    def _below(self, path: Column) -> Column:
+        """A file's name below the root, from its address."""
+        plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+        return F.regexp_extract(plain, rf"/({self.folder}/batch=.*)$", 1)
 
     def check_options(self, given: dict) -> None:
         known = {option for _, option, _, _ in self.options}
@@ -101,9 +108,7 @@ class _LineWriter(SetWriter):
     def finish(self, records: DataFrame, line: Column, reason: Column) -> DataFrame:
         keep = [c for c in records.columns if c not in ("entries", "reason")]
         lined = records.select(*keep, line.alias("payload"), reason.alias("reason"))
-        return lined.withColumn("record_hash", md5_hex("payload")).withColumn(
-            "file_name", self.file_name()
-        )
+        return lined.withColumn("record_hash", md5_hex("payload"))
 
     def write(self, encoded: DataFrame, root: str, batch: str, options: dict) -> None:
         write_lines(encoded.select("set", F.col("payload").alias("line")), f"{root}/lines/batch={batch}")
@@ -111,13 +116,14 @@ class _LineWriter(SetWriter):
     def clear(self, spark: SparkSession, root: str) -> None:
         write_lines(spark.createDataFrame([], "set string, line string"), f"{root}/lines")
 
-    def rescan(self, spark: SparkSession, root: str) -> DataFrame:
+    def rescan(self, spark: SparkSession, root: str, batch: str | None = None) -> DataFrame:
         text = (
             spark.read.schema("value string, batch string, set string")
             .option("lineSep", "\n")
-            .text(f"{root}/lines")
+            .option("basePath", f"{root}/lines")
+            .text(self._written(root, batch))
         )
-        return text.select("set", md5_hex("value").alias("record_hash"))
+        return text.select("set", md5_hex("value").alias("record_hash"), self._below(F.col("_metadata.file_path")).alias("file_name"))
 
 
 def _first(reasons: Column) -> Column:
@@ -258,7 +264,6 @@ class TFRecordWriter(SetWriter):
         return (
             lasts.select(*keep, _examples(blobs, ints, floats).alias("payload"))
             .withColumn("record_hash", md5_hex("payload"))
-            .withColumn("file_name", self.file_name())
         )
 
     def write(self, encoded: DataFrame, root: str, batch: str, options: dict) -> None:
@@ -276,10 +281,12 @@ class TFRecordWriter(SetWriter):
         nothing = spark.createDataFrame([], f"set string, {tfrecord.RAW_RECORD} binary")
         nothing.write.format("tfrecord").mode("overwrite").save(f"{root}/records")
 
-    def rescan(self, spark: SparkSession, root: str) -> DataFrame:
+    def rescan(self, spark: SparkSession, root: str, batch: str | None = None) -> DataFrame:
         tfrecord.register(spark)
-        raw = spark.read.format("tfrecord").option("checksums", "ignore").load(f"{root}/records")
-        return raw.select(F.col("_set").alias("set"), md5_hex("_record").alias("record_hash"))
+        raw = spark.read.format("tfrecord").option("checksums", "ignore").load(self._written(root, batch))
+        # Paths come from the file system, not from an address.
+        name = F.regexp_extract("_file", rf"/({self.folder}/batch=.*)$", 1)
+        return raw.select(F.col("_set").alias("set"), md5_hex("_record").alias("record_hash"), name.alias("file_name"))
 
 
 class TensorWriter(SetWriter):
@@ -317,7 +324,6 @@ class TensorWriter(SetWriter):
         return (
             records.select(*keep, per_field.alias("payload"))
             .withColumn("record_hash", self._hash("payload", [f.name for f in fields]))
-            .withColumn("file_name", self.file_name())
         )
 
     @staticmethod
@@ -346,11 +352,11 @@ class TensorWriter(SetWriter):
             .parquet(f"{root}/tensors")
         )
 
-    def rescan(self, spark: SparkSession, root: str) -> DataFrame:
-        shards = spark.read.parquet(f"{root}/tensors")
+    def rescan(self, spark: SparkSession, root: str, batch: str | None = None) -> DataFrame:
+        shards = spark.read.option("basePath", f"{root}/tensors").parquet(self._written(root, batch))
         names = [c for c in shards.columns if c not in ("set", "batch")]
-        packed = shards.select("set", F.struct(*names).alias("payload"))
-        return packed.select("set", self._hash("payload", names).alias("record_hash"))
+        packed = shards.select("set", F.struct(*names).alias("payload"), self._below(F.col("_metadata.file_path")).alias("file_name"))
+        return packed.select("set", self._hash("payload", names).alias("record_hash"), "file_name")
 
 
 WRITERS: dict[str, SetWriter] = {
