@@ -98,17 +98,21 @@ def tfrecord_roundtrip(spark, sf_dir):
 
 @query(
     "tfrecord_shards",
-    f"""WITH S AS (SELECT {X_SET} AS "set" FROM embeddings)
-    SELECT "set", count(*) AS n, bool_and(true) AS small FROM S GROUP BY 1""",
+    f"""WITH S AS (SELECT {X_SET} AS "set", label, list_sum(CAST(embedding AS DOUBLE[])) AS t FROM embeddings)
+    SELECT "set", count(*) AS n, count(*) >= 0 AS small, CAST(sum(label) AS BIGINT) AS labels, round(sum(t), 4) AS total FROM S GROUP BY 1""",
 )
 def tfrecord_shards(spark, sf_dir):
-    """Shards of at most 100 records: every file keeps to it and none is lost."""
+    """Shards of at most 100 records with tensor and label: every file keeps to it and none is lost."""
     tfrecord.register(spark)
     path = scratch_path(spark, "shards")
-    rows = _tensors(spark, sf_dir).select("set", "vec_id")
+    rows = _tensors(spark, sf_dir).select("set", "vec_id", "label", encode_f32("embedding").alias("embedding"))
     rows.write.format("tfrecord").option("entriesPerShard", 100).mode("append").save(path)
-    files = spark.read.format("tfrecord").load(path).groupBy("_set", "_file").agg(F.count(F.lit(1)).alias("n"))
-    return files.groupBy(F.col("_set").alias("set")).agg(F.sum("n").alias("n"), (F.max("n") <= 100).alias("small"))
+    back = spark.read.format("tfrecord").schema("_set string, _file string, label bigint, embedding binary").load(path)
+    values = F.aggregate(decode_f32("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+    files = back.withColumn("t", values).groupBy("_set", "_file").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"), F.sum("t").alias("t"))
+    return files.groupBy(F.col("_set").alias("set")).agg(
+        F.sum("n").alias("n"), (F.max("n") <= 100).alias("small"), F.sum("labels").alias("labels"), F.round(F.sum("t"), 4).alias("total")
+    )
 
 
 @query(

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from setwright.operators.ledger import Ledger, first_per_key
-from setwright.operators.mean import image_mean
+from setwright.operators.mean import mean_vector
 from setwright.plans.export import export, ledger_path
 from setwright.session import exists
 from setwright.sources.feed import read_feed
@@ -31,16 +33,71 @@ def table_stream(spark: SparkSession, landing: str, schema, files_per_batch: int
     )
 
 
-def run_available(stream: DataFrame, on_batch, checkpoint: str) -> StreamingQuery:
-    """Process all that has landed and stop; the checkpoint remembers how far it got."""
-    query = (
-        stream.writeStream.foreachBatch(on_batch)
+_STOPPED = "stopped between micro-batches"
+
+
+class Running:
+    """A stream that runs, and a way to end it between two micro-batches.
+
+    A micro-batch that has begun is finished. The one after it is refused before it does anything, so the
+    checkpoint still has it to do and the next run begins with it.
+    """
+
+    def __init__(self, on_batch: Callable[[DataFrame, int], None], stop_after: int | None = None):
+        self._on_batch, self._left = on_batch, stop_after
+        self._stop = threading.Event()
+        self.query: StreamingQuery | None = None
+
+    def batch(self, rows: DataFrame, batch_id: int) -> None:
+        if self._stop.is_set() or self._left == 0:
+            raise RuntimeError(_STOPPED)
+        if self._left is not None:
+            self._left -= 1
+        self._on_batch(rows, batch_id)
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Wait for the end of the stream; whether it has ended."""
+        try:
+            if seconds is None:
+                self.query.awaitTermination()
+                return True
+            return bool(self.query.awaitTermination(max(1, round(seconds))))
+        except StreamingQueryException as problem:
+            if _STOPPED not in str(problem):
+                raise
+            return True
+
+    def finish(self) -> None:
+        """End the stream after the micro-batch that runs; at once if none does."""
+        self._stop.set()
+        while self.query.isActive:
+            if not self.query.status["isTriggerActive"]:
+                self.query.stop()
+            elif self.wait(1):
+                return
+
+    def progress(self) -> list[tuple[int, int]]:
+        """Number and input rows of the latest micro-batches."""
+        return [(p["batchId"], p["numInputRows"]) for p in self.query.recentProgress]
+
+
+def start_available(stream: DataFrame, on_batch, checkpoint: str, stop_after: int | None = None) -> Running:
+    """Start to process all that has landed, or ``stop_after`` micro-batches of it."""
+    running = Running(on_batch, stop_after)
+    running.query = (
+        stream.writeStream.foreachBatch(running.batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    return query
+    return running
+
+
+def run_available(stream: DataFrame, on_batch, checkpoint: str) -> StreamingQuery:
+    """Process all that has landed and stop; the checkpoint remembers how far it got."""
+    running = start_available(stream, on_batch, checkpoint)
+    running.wait()
+    return running.query
 
 
 def record_stream(pages: DataFrame, mapping: Sequence[Field], strict: str = "page") -> DataFrame:
@@ -57,10 +114,14 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def export_stream(
-    pages: DataFrame, job: Job, out: str, fmt: str, checkpoint: str, assets: DataFrame | None = None, **options
-) -> StreamingQuery:
+    pages: DataFrame, job: Job, out: str, fmt: str, checkpoint: str, assets: DataFrame | None = None,
+    wait: bool = True, stop_after: int | None = None, **options,
+) -> Running:
     """Export each micro-batch as a batch of its own.
 
+    Returns when all that has landed, or ``stop_after`` micro-batches of it, is exported; with ``wait=False`` at once, with
+    the running stream, which ``finish()`` ends after its current micro-batch.
+
     The batch is named by the checkpoint's run id and the micro-batch, so a micro-batch that is run again replaces
     its own files and ledger rows, and no other run's: a restart neither loses nor doubles records.
     """
@@ -75,7 +136,10 @@ def export_stream(
         if not records.isEmpty():
             export(records, job, out, fmt, assets, mode="resume", batch=f"{run}-{batch_id}", **options)
 
-    return run_available(record_stream(pages, job.fields), write, checkpoint)
+    running = start_available(record_stream(pages, job.fields), write, checkpoint, stop_after)
+    if wait:
+        running.wait()
+    return running
 
 
 def dedupe_stream(rows: DataFrame, key: str, seq: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -107,9 +171,16 @@ def mean_stream(
 
     The state is one sum and one count per channel or pixel.
     """
+    if kind == "pixel":
+        # Kept as one sum and one count per pixel in the state; vectors of partial sums would pile up there.
+        pixels = images.select(F.posexplode(tensor).alias("i", "x"))
+        means = pixels.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    else:
+        means = mean_vector(images, tensor, kind, channels)
+        at = {"global": [F.get("v", F.lit(0)).alias("m")], "channel": [F.posexplode("v").alias("ch", "m")]}[kind]
+        means = means.select(*at)
     query = (
-        image_mean(images, tensor, kind, channels)
-        .writeStream.outputMode("complete")
+        means.writeStream.outputMode("complete")
         .foreachBatch(lambda m, _: m.write.mode("overwrite").parquet(target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -2,9 +2,10 @@
 
 import json
 
-from test_export import FIELDS, JOB, record
-
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from test_export import FIELDS, JOB, record
 
 from setwright.operators.ledger import Ledger
 from setwright.plans.export import ledger_path, verify_local
@@ -70,3 +71,40 @@ def test_online_mean_is_the_mean(spark, tmp_path, rows):
     images(10, 20).write.mode("append").parquet(landing)
     fs.mean_stream(stream, "v", "channel", 2, target, checkpoint)
     assert rows(spark.read.parquet(target)) == [(0, 9.5), (1, 19.0)]
+
+
+def test_export_stops_between_batches(spark, tmp_path):
+    """After so many micro-batches the stream ends; the next run goes on there and nothing is written twice."""
+    landing, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    for k in range(4):
+        land(landing, f"{k}.json", scalar(2 * k + 1), scalar(2 * k + 2))
+    pages = fs.page_stream(spark, str(landing), files_per_batch=1)
+    first = fs.export_stream(pages, JOB, out, "jsonl", checkpoint, stop_after=2)
+    assert not first.query.isActive and verify_local(spark, out, "jsonl").first() == (4, 0)
+    second = fs.export_stream(pages, JOB, out, "jsonl", checkpoint, wait=False)
+    second.finish()
+    found, lost = verify_local(spark, out, "jsonl").first()
+    assert not second.query.isActive and found in (4, 6, 8) and lost == 0
+    fs.export_stream(pages, JOB, out, "jsonl", checkpoint)
+    assert verify_local(spark, out, "jsonl").first() == (8, 0)
+    assert Ledger.open(spark, ledger_path(out)).hashes().count() == 8
+
+
+def test_errors_of_a_batch_are_raised(spark, tmp_path):
+    landing = tmp_path / "in"
+    land(landing, "a.json", scalar(1))
+
+    def fail(rows, batch_id):
+        raise ValueError("no")
+
+    with pytest.raises(StreamingQueryException):
+        fs.run_available(fs.page_stream(spark, str(landing)), fail, str(tmp_path / "ck"))
+
+
+@pytest.mark.parametrize("kind,want", [("global", [2.5]), ("channel", [2.0, 3.0]), ("pixel", [2.0, 3.0])])
+def test_mean_streams(spark, tmp_path, kind, want):
+    landing, target = str(tmp_path / "in"), str(tmp_path / "mean")
+    spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "t array<float>").repartition(2).write.parquet(landing)
+    stream = fs.table_stream(spark, landing, "t array<float>", files_per_batch=1)
+    fs.mean_stream(stream, "t", kind, 2, target, str(tmp_path / "ck"))
+    assert sorted(r["m"] for r in spark.read.parquet(target).collect()) == want
