@@ -27,6 +27,8 @@ from setwright.llm.quality import held_out
 from setwright.llm.textarrays import flat, slices, small_batches
 
 HIDDEN = 8
+#: Stretches whose states are held at once.
+BLOCK = 4096
 STEP = 128
 #: Documents per language, and languages, that the network learns from, at most.
 SAMPLE, LANGUAGES = 300, 200
@@ -125,15 +127,18 @@ class Network:
             text = np.repeat(np.arange(len(size)), per)
             nth = np.arange(n) - np.repeat(np.cumsum(per) - per, per)
             at = off[text] + nth * STEP
-            left = np.minimum(off[text + 1] - at, STEP)
-            steps = np.arange(int(left.max()))[:, None]
-            live = steps < left[None, :]
-            ids = raw[np.where(live, at[None, :] + steps, 0)]
-            live = live.astype(np.float32)
-            p = self.probabilities(self.states(ids, live, "f"), self.states(ids, live, "b"))
-            each = np.einsum("tnc,tn->nc", p, live)
-            for c in range(len(self.names)):
-                pooled[:, c] = np.bincount(text, each[:, c], len(size))
+            # A block of stretches at a time, so that states and probabilities do not grow with a text.
+            for a in range(0, n, BLOCK):
+                part = slice(a, a + BLOCK)
+                left = np.minimum(off[text[part] + 1] - at[part], STEP)
+                steps = np.arange(int(left.max()))[:, None]
+                live = steps < left[None, :]
+                ids = raw[np.where(live, at[part][None, :] + steps, 0)]
+                live = live.astype(np.float32)
+                p = self.probabilities(self.states(ids, live, "f"), self.states(ids, live, "b"))
+                each = np.einsum("tnc,tn->nc", p, live)
+                for c in range(len(self.names)):
+                    pooled[:, c] += np.bincount(text[part], each[:, c], len(size))
             pooled /= np.maximum(size, 1)[:, None]
         best = pooled.argmax(1)
         return best, np.clip(pooled[np.arange(len(size)), best], 0, 1)

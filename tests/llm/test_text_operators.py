@@ -509,3 +509,29 @@ def test_long_text_is_read_to_its_end():
     net = gru.fit(["aaaa bbbb " * 40, "cccc dddd " * 40], ["x", "y"], rounds=60)
     best, _ = net.label(pa.array(["aaaa bbbb " * 10 + "cccc dddd " * 300, "cccc dddd " * 10 + "aaaa bbbb " * 300, None]))
     assert [net.names[b] for b in best[:2]] == ["y", "x"]
+
+
+def test_label_pools_the_forward_pass(spark):
+    """Labels of whole texts equal a plain pass over each stretch, also where a text takes many blocks."""
+    import numpy as np
+
+    net = gru.Network(["a", "b", "c"], 4)
+    texts = ["", "é" * 300, "plain text " * 400, None, "x"]
+    small, gru.BLOCK = gru.BLOCK, 7
+    try:
+        best, score = net.label(pa.array(texts))
+    finally:
+        gru.BLOCK = small
+    for t, b, s in zip(texts, best, score):
+        data = (t or "").encode()
+        total = np.zeros(3)
+        for at in range(0, len(data), gru.STEP):
+            part = data[at : at + gru.STEP]
+            ids = np.frombuffer(part, np.uint8)[:, None]
+            live = np.ones(ids.shape, np.float32)
+            total += net.probabilities(net.states(ids, live, "f"), net.states(ids, live, "b"))[:, 0].sum(0)
+        if data:
+            assert b == total.argmax() and abs(s - total.max() / len(data)) < 1e-5
+        else:
+            assert s == 0
+    assert (net.label(pa.array(texts))[1] - score).max() < 1e-6
