@@ -11,6 +11,7 @@ from setwright.operators.entries import is_blob, output_cells
 from setwright.operators.numbering import batch_numbers, group_positions, row_positions, running_totals
 from setwright.session import scratch_path
 from setwright.sources import feed, job
+from setwright.sources.arrays import array_records
 
 
 def as_pages(records: DataFrame, key: str) -> DataFrame:
@@ -377,6 +378,23 @@ def strict_keys(spark, sf_dir):
     return feed.page_status(pages)
 
 
+@query(
+    "feed_split",
+    f"""WITH {D_SQL} SELECT "set", api_hash, lang, CAST(n_chars AS BIGINT) AS n_chars, md5(text) AS digest, CAST(NULL AS VARCHAR) AS reason FROM D""",
+)
+def feed_split(spark, sf_dir):
+    """Documents as a few array files, cut into records by splits of the files, and parsed."""
+    path = scratch_path(spark, "arrays")
+    pages = as_pages(docs(spark, sf_dir).select("doc_id", doc_json().alias("json")), "doc_id")
+    pages.select(F.col("body").alias("value"), "page").write.partitionBy("page").text(path)
+    records = feed.read_feed(array_records(spark, path), FIELDS, strict="record")
+    e = lambda i: F.get("entries", F.lit(i))
+    return records.select(
+        "set", "api_hash", e(0)["string_value"].alias("lang"), e(1)["int_value"].cast("bigint").alias("n_chars"),
+        F.md5(e(2)["string_value"]).alias("digest"), "reason",
+    )
+
+
 # Rule-made defects, one per residue; every document is checked.
 DEFECTS = {
     0: ("missing_type", {"id": 1, "value": "x"}),
