@@ -96,6 +96,8 @@ def _placed(accepted: DataFrame, writer: SetWriter, spark: SparkSession, out: st
     Equal records of a set share the first file that holds them. With ``integrity`` it is an error if any
     record cannot be read back.
     """
+    if accepted.isEmpty():  # there are no files
+        return accepted.select("seq", "set", "api_hash", "member_pos", "record_hash", F.lit(None).cast("string").alias("file_name"))
     receipts = writer.rescan(spark, out, batch).groupBy("set", "record_hash").agg(F.min("file_name").alias("file_name"))
     narrow = accepted.select("seq", "set", "api_hash", "member_pos", "record_hash")
     placed = staged(narrow.join(receipts, ["set", "record_hash"], "left"), "receipts")
