@@ -11,7 +11,9 @@ of these share can no longer change and is emitted. Memory is the unsettled wind
 **Decoding** feeds ids one by one through a state machine: without a decoder in the tokenizer file,
 token strings joined by one space; with the byte-level one, bytes to text by an incremental UTF-8 decoder.
 
-Null texts are empty texts: no ids, and the decoded text is empty. Repeated rows get equal rows.
+Null texts are empty texts: no ids, and the decoded text is empty. Repeated rows get equal rows, and an empty
+table gives none. Extra columns are ignored. A text is encoded and decoded ``_BLOCK`` chunks at a time, so a very
+long one takes memory for itself and its chunks, not for its ids as text (``bpe_ids`` returns all ids of a text).
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -31,8 +35,12 @@ from setwright.llm.textarrays import slices, small_batches
 #: Distinct words whose ids a Python worker keeps, some 350 bytes each with what goes with them; the tables start
 #: anew beyond it. Fewer take less memory and more time, and change nothing else.
 WORDS_KEPT = 600_000
+#: Chunks whose ids go through the decoder together.
+_BLOCK = 4096
 _HEAD = 6
 _WIDE = 1 << 32
+#: The only pattern that the normaliser may replace, by one space.
+_SPACES = {"Regex": r"\s+"}
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE_RUN = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -199,6 +207,34 @@ class Merges:
         return out[::-1]
 
 
+class Decoder:
+    """Ids to text, bit by bit; between two calls it holds no more than an unfinished character."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.names = tokenizer.names
+        self.raw = tokenizer.raw
+        self.gap = ""
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace") if tokenizer.byte_level else None
+
+    def feed(self, ids: list[int]) -> str:
+        """The text that these next ids settle."""
+        if not ids:
+            return ""
+        if self.machine is None:
+            out = self.gap + " ".join([self.names[i] for i in ids])
+            self.gap = " "
+            return out
+        out = []
+        for i in ids:
+            raw = self.raw.get(i)
+            out.append(self.machine.decode(raw) if raw is not None else self.machine.decode(b"", True) + self.names[i])
+        return "".join(out)
+
+    def finish(self) -> str:
+        """What an unfinished character leaves."""
+        return self.machine.decode(b"", True) if self.machine else ""
+
+
 class Tokenizer:
     """What a tokenizer file says: added tokens, normalisation, words, merges and decoding.
 
@@ -218,10 +254,13 @@ class Tokenizer:
             raise ValueError("added tokens must be matched as they stand")
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
+        #: What all added tokens begin with, which is looked for first.
+        self.added_mark = os.path.commonprefix(longest_first)
         norm = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
-        kinds = [n["type"] for n in norm.get("normalizers", [norm])]
-        if kinds != ["NFC", "Replace", "Lowercase"]:
-            raise ValueError(f"unknown normalisation {kinds}")
+        steps = norm.get("normalizers", [norm])
+        kinds = [n["type"] for n in steps]
+        if kinds != ["NFC", "Replace", "Lowercase"] or steps[1].get("pattern", _SPACES) != _SPACES or steps[1].get("content", " ") != " ":
+            raise ValueError(f"unknown normalisation {steps}")
         pre = spec["pre_tokenizer"]["pretokenizers"]
         if [p["type"] for p in pre] != ["Split", "ByteLevel"] or not pre[0]["invert"] or pre[1]["use_regex"] or pre[1]["add_prefix_space"]:
             raise ValueError("unknown pre-tokenisation")
@@ -231,7 +270,13 @@ class Tokenizer:
         if decoder and decoder["type"] != "ByteLevel":
             raise ValueError("unknown decoder")
         self.byte_level = bool(decoder)
-        self._chunks: dict[str, tuple[bytes, bytes, int]] = {}
+        back = {c: b for b, c in enumerate(self.symbol)}
+        added = set(self.added.values())
+        #: The bytes of each token that stands for bytes.
+        self.raw = {
+            i: bytes(back[c] for c in name) for i, name in self.names.items() if i not in added and all(c in back for c in name)
+        } if self.byte_level else {}
+        self._chunks: dict[str, tuple[bytes, tuple[int, ...]]] = {}
         self._words: dict[str, tuple[int, ...]] = {}
 
     def forget(self) -> None:
@@ -262,7 +307,7 @@ class Tokenizer:
 
     def pieces(self, text: str) -> Iterator[int | list[str]]:
         """Added tokens as ids, what lies between as lists of normalised chunks."""
-        parts = self.added_pattern.split(text) if self.added_pattern and "<|" in text else [text]
+        parts = self.added_pattern.split(text) if self.added_pattern and self.added_mark in text else [text]
         for part in parts:
             if part in self.added:
                 yield self.added[part]
@@ -282,76 +327,67 @@ class Tokenizer:
                     out += self.chunk_ids(chunk)
         return out
 
-    def known(self, chunk: str) -> tuple[bytes, bytes, int]:
-        """A chunk's ids and decoded tokens as text, and their number."""
+    def known(self, chunk: str) -> tuple[bytes, tuple[int, ...]]:
+        """A chunk's ids, as text and as they are."""
         found = self._chunks.get(chunk)
         if found is None:
-            ids = self.chunk_ids(chunk)
-            found = (" ".join(map(str, ids)).encode(), " ".join(self.names[i] for i in ids).encode(), len(ids))
+            ids = tuple(self.chunk_ids(chunk))
+            found = (" ".join(map(str, ids)).encode(), ids)
             if len(chunk) <= 64:
                 if len(self._chunks) >= self.merges.kept // 2:
                     self._chunks.clear()
                 self._chunks[chunk] = found
         return found
 
-    def ids_fast(self, text: str) -> list[int]:
-        """The same ids as ``ids``, by way of the table of chunks."""
-        out: list[int] = []
+    def blocks(self, text: str) -> Iterator[list[tuple[bytes, tuple[int, ...]]]]:
+        """A text's ids, some chunks at a time, by way of the table of chunks."""
         cache = self._chunks
         for piece in self.pieces(text):
             if isinstance(piece, int):
-                out.append(piece)
+                yield [(str(piece).encode(), (piece,))]
             else:
-                for chunk in piece:
-                    out += map(int, (cache.get(chunk) or self.known(chunk))[0].split())
-        return out
+                for k in range(0, len(piece), _BLOCK):
+                    yield [cache.get(c) or self.known(c) for c in piece[k : k + _BLOCK]]
+
+    def ids_fast(self, text: str) -> list[int]:
+        """The same ids as ``ids``, by way of the table of chunks."""
+        return [i for block in self.blocks(text) for _, ids in block for i in ids]
 
     # -- decoding
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Decoded text bit by bit; holds no more than an unfinished character."""
-        if not self.byte_level:
-            first = True
-            for i in ids:
-                yield self.names[i] if first else " " + self.names[i]
-                first = False
-            return
-        back = {c: b for b, c in enumerate(self.symbol)}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        """Decoded text bit by bit."""
+        machine = Decoder(self)
         for i in ids:
-            name = self.names[i]
-            if i in self.added.values() or any(c not in back for c in name):
-                yield machine.decode(b"", True) + name
-            else:
-                yield machine.decode(bytes(back[c] for c in name))
-        yield machine.decode(b"", True)
+            yield machine.feed([i])
+        yield machine.finish()
 
-    # -- digests of both, for one text
+    # -- both, for one text
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by one space, SHA-256 of the decoded text."""
-        if self.byte_level:
-            ids = self.ids(text)
-            decoded = hashlib.sha256()
-            for part in self.decode(ids):
-                decoded.update(part.encode())
-            return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+        """Number of ids, SHA-256 of the ids joined by one space, SHA-256 of what the decoder makes of the ids."""
         as_ids, as_text, count, gap = hashlib.sha256(), hashlib.sha256(), 0, b""
-        cache = self._chunks
-        for piece in self.pieces(text):
-            if isinstance(piece, int):
-                runs: Iterable = [[(str(piece).encode(), self.names[piece].encode(), 1)]]
-            else:
-                runs = (
-                    [cache.get(c) or self.known(c) for c in piece[k : k + 4096]] for k in range(0, len(piece), 4096)
-                )
-            for run in runs:
-                as_ids.update(gap + b" ".join([r[0] for r in run]))
-                as_text.update(gap + b" ".join([r[1] for r in run]))
-                count += sum([r[2] for r in run])
-                gap = b" "
+        machine = Decoder(self)
+        for block in self.blocks(text):
+            ids = list(chain.from_iterable([b[1] for b in block]))
+            if not ids:
+                continue
+            as_ids.update(gap + b" ".join([b[0] for b in block if b[1]]))
+            as_text.update(machine.feed(ids).encode())
+            count += len(ids)
+            gap = b" "
+        as_text.update(machine.finish().encode())
         return count, as_ids.hexdigest(), as_text.hexdigest()
 
+    def ids_and_back(self, text: str) -> tuple[list[int], str]:
+        """The ids of a text, and the SHA-256 of what the decoder makes of them."""
+        ids = self.ids_fast(text)
+        machine, as_text = Decoder(self), hashlib.sha256()
+        for k in range(0, len(ids), _BLOCK):
+            as_text.update(machine.feed(ids[k : k + _BLOCK]).encode())
+        as_text.update(machine.finish().encode())
+        return ids, as_text.hexdigest()
+
 
 _loaded: dict[str, Tokenizer] = {}
 
@@ -398,7 +434,7 @@ def bpe_digests(
 def bpe_ids(
     docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", words_kept: int = WORDS_KEPT // 5
 ) -> DataFrame:
-    """Encode every text; one row per row with ``key``, ``n_tokens`` and the ``ids`` themselves.
+    """Encode every text and decode it again; one row per row with ``key``, ``n_tokens``, ``ids`` and ``decoded_sha256``.
 
     Keeps fewer words than ``bpe_digests`` and forgets them after each task, as it is one stage among others.
     """
@@ -411,13 +447,20 @@ def bpe_ids(
         tokenizer.merges.kept = words_kept
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [tokenizer.ids_fast(t or "") for t in part.column("text").to_pylist()]
+                found = [tokenizer.ids_and_back(t or "") for t in part.column("text").to_pylist()]
+                ids, decoded = [f[0] for f in found], [f[1] for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
-                    names=["key", "n_tokens", "ids"],
+                    [
+                        part.column("key"),
+                        pa.array(map(len, ids), pa.int64()),
+                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array(decoded, pa.string()),
+                    ],
+                    names=["key", "n_tokens", "ids", "decoded_sha256"],
                 )
         tokenizer.forget()
 
     narrow = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return small_batches(narrow).mapInArrow(run, f"key {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("key", key)
+    schema = f"key {kind}, n_tokens bigint, ids array<int>, decoded_sha256 string"
+    return small_batches(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -109,6 +109,8 @@ def test_bpe_edge_cases(spark):
     assert by[6].n_tokens == 20_000
     assert bpe.bpe_digests(awkward(spark).limit(0), WORD_BPE).count() == 0
     ids = {r.doc_id: r.ids for r in bpe.bpe_ids(awkward(spark), WORD_BPE).collect() if r.doc_id}
+    back = {r.doc_id: r.decoded_sha256 for r in bpe.bpe_ids(awkward(spark), WORD_BPE).collect() if r.doc_id}
+    assert back == {r.doc_id: r.decoded_sha256 for r in rows if r.doc_id}
     assert sha(" ".join(map(str, ids[8]))) == by[8].ids_sha256
 
 
