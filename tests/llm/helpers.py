@@ -91,44 +91,42 @@ def word_hash(word: bytes) -> int:
     return int(Words(raw, np.array([0, len(raw)]), LETTERS).hashes()[0])
 
 
-def without_repeats(docs: list[tuple[int, str | None]], sentences: int, words: int, long: int) -> dict[int, tuple[int, int, str | None]]:
-    """Sentences, removed sentences and what is left, document by document."""
+def without_repeats(docs: list[tuple[int, str | None]], sentences: int, words: int, edge: int) -> dict[int, tuple[int, int, str | None]]:
+    """Sentences, removed sentences and what is left, document by document, from runs of every length."""
+    import numpy as np
+
+    from setwright.llm.textarrays import mixed
+
+    def chosen(a: bytes, b: bytes) -> bool:
+        after = mixed(np.array([word_hash(b)], np.uint64) + np.uint64(5))
+        return a != b and int(mixed(np.array([word_hash(a)], np.uint64) ^ after)[0]) % 4 == 0
+
     cut: dict[int, tuple[list, list]] = {}
     runs: dict[int, list] = defaultdict(list)
-    first: dict[tuple, tuple] = {}
+    numbers: dict[tuple, int] = {}  # a run is the run before its last sentence, and that sentence
+    first: dict[int, tuple] = {}
     count: Counter = Counter()
     for d, text in docs:
         data = (text or "").encode()
         found = list(re.finditer(rb"[^\x20\x09-\x0D]+", data))
         w = [bytes(c + 32 if 65 <= c <= 90 else c for c in m.group()) for m in found]
-        parts, now = [], []
-        for k, m in enumerate(found):
-            now.append(k)
-            last = k == len(found) - 1 or b"\n" in data[m.end() : found[k + 1].start()]
-            if last or re.search(rb"[.!?][^0-9a-z\x80-\xff]*$", w[k]):
-                parts.append(now)
-                now = []
-        pieces = []
-        for part in parts:
-            now = []
-            for k in part:
-                now.append(k)
-                if len(part) > long and word_hash(w[k]) & 7 == 0:
-                    pieces.append(now)
-                    now = []
-            if now:
-                pieces.append(now)
+        bounds = {0, len(w)}
+        for k, m in enumerate(found[:-1]):
+            if b"\n" in data[m.end() : found[k + 1].start()] or re.search(rb"[.!?][^0-9a-z\x80-\xff]*$", w[k]):
+                bounds.add(k + 1)
+        cuts = {k for k in range(1, len(w)) if not bounds & set(range(k - edge, k + edge + 1)) and chosen(w[k - 1], w[k])}
+        at = sorted(bounds | cuts)
+        pieces = [list(range(i, j)) for i, j in zip(at, at[1:])]
         cut[d] = ([[w[k] for k in p] for p in pieces], [found[p[0]].start() for p in pieces])
         for i in range(len(pieces)):
-            j, n, run = i, 0, []
-            while j < len(pieces) and (n < words or j - i < sentences):
+            run, n = -1, 0
+            for j in range(i, len(pieces)):
                 n += len(pieces[j])
-                run += cut[d][0][j] + [None]
-                j += 1
-            if n >= words and j - i >= sentences:
-                runs[d].append((tuple(run), i, j))
-                count[tuple(run)] += 1
-                first.setdefault(tuple(run), (d, i))
+                run = numbers.setdefault((run, *cut[d][0][j]), len(numbers))
+                if n >= words and j + 1 - i >= sentences:
+                    runs[d].append((run, i, j + 1))
+                    count[run] += 1
+                    first.setdefault(run, (d, i))
     out = {}
     for d, text in docs:
         drop = {k for run, i, j in runs[d] if count[run] > 1 and first[run] != (d, i) for k in range(i, j)}

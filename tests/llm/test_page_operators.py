@@ -224,7 +224,7 @@ def test_pipeline_stages(spark):
     assert set(given["near_duplicates"]) <= set(given["quality"]) and len(given["near_duplicates"]) > 150
     before = {d: r.text for d, r in given["near_duplicates"].items()}
     assert set(given["repeated_passages"]) == {d for d, (_, least) in linked(before, 5, 80).items() if d == least}
-    expected = without_repeats(sorted((d, r.text) for d, r in given["repeated_passages"].items()), spans.SENTENCES, spans.WORDS, spans.LONG)
+    expected = without_repeats(sorted((d, r.text) for d, r in given["repeated_passages"].items()), spans.SENTENCES, spans.WORDS, spans.EDGE)
     left = {d: t for d, (_, gone, t) in expected.items() if not gone or t.strip()}
     assert {d: r.text for d, r in given["benchmark_leaks"].items()} == left
     assert all(r.n_chars == len(r.text) for r in given["benchmark_leaks"].values())

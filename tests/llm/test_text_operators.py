@@ -224,12 +224,45 @@ def test_spans_equal_plain_version(spark):
     passage = " ".join(f"This is sentence {k} of a passage that two documents share." for k in range(6))
     docs += [(10_000, f"Start here now. {passage} And an end."), (10_001, f"Another start. {passage}"), (10_002, passage + "\n" + passage), (10_003, None)]
     got = spans.dedup_spans(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    expected = without_repeats(docs, spans.SENTENCES, spans.WORDS, spans.LONG)
+    expected = without_repeats(docs, spans.SENTENCES, spans.WORDS, spans.EDGE)
     assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in got} == expected
     by = {r.doc_id: r.text for r in got}
     assert passage in by[10_000] and "passage" not in by[10_001] and by[10_002].strip() == ""
 
 
+def test_passages_are_found_wherever_they_stand(spark):
+    """Passages of 51 words at random places of other texts, with and without stops, do not fall through."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(3000)]
+
+    def prose(n, stops):
+        return [rng.choice(vocabulary) + ("." if stops and rng.random() < 0.08 else "") for _ in range(n)]
+
+    rows, places = [], {}
+    for k in range(400):
+        stops = k % 2 == 0
+        passage = prose(51, stops)
+        for twin in (0, 1):
+            host = prose(120, stops)
+            at = rng.randrange(len(host))
+            rows.append((2 * k + twin, " ".join(host[:at] + passage + host[at:])))
+        places[2 * k + 1] = passage
+    got = spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    before = dict(rows)
+    lost = {r.doc_id: len(before[r.doc_id].split()) - len(r.text.split()) for r in got}
+    assert all(lost[d] == 0 for d in lost if d not in places)
+    share = [lost[d] / 51 for d in places]
+    assert sum(x > 0 for x in share) >= 0.995 * len(share) and sum(x >= 0.5 for x in share) >= 0.97 * len(share)
+    assert all(x <= 1 for x in share)
+
+
+def test_tail_of_a_copied_text_goes_too(spark):
+    body = "One sentence of eight words stands right here. Another one with eight words comes after that. End of it."
+    rows = [(1, body), (2, body), (3, "Yes it is. " + body)]
+    got = {r.doc_id: r.text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == body and got[2].strip() == "" and got[3].strip() == "Yes it is."
+
+
 def test_spans_edge_cases(spark):
     got = spans.dedup_spans(awkward(spark), keep=("lang",)).collect()
     assert len(got) == len(AWKWARD)
