@@ -164,6 +164,43 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, wumanber.contamination(documents(spark), benchmark).collect())) == whole
 
 
+def test_blocks_meet_awkward_rows(spark, monkeypatch):
+    """Repeated rows, null ids and items without an id come out alike from one block and from several."""
+    items = [(None, "One two"), (None, "three"), (7, "three"), (8, "then three"), (9, "two"), (9, "two"), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = awkward(spark).unionByName(awkward(spark)).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(70, "one two, then three"), (None, "three")], docs.schema))
+
+    def order(r):
+        return (r[0] is not None, r[0] or 0, *r[1:])
+
+    whole = sorted(map(tuple, wumanber.contamination(docs, benchmark).collect()), key=order)
+    left = sorted(map(tuple, wumanber.decontaminated(docs, benchmark).collect()), key=repr)
+    monkeypatch.setattr(wumanber, "PATTERNS_PER_BLOCK", 4)
+    assert sorted(map(tuple, wumanber.contamination(docs, benchmark).collect()), key=order) == whole
+    assert sorted(map(tuple, wumanber.decontaminated(docs, benchmark).collect()), key=repr) == left
+
+
+def test_one_suffix_for_many_patterns(monkeypatch):
+    """Windows that share their last words, and different windows of one hash, are told apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    from setwright.llm.textarrays import ALNUM, Words, flat
+
+    items = pa.array([f"w{k} a b c d e f g same end" for k in range(500)])
+    text = pa.array(["x " + " y ".join(items[k].as_py() for k in (3, 77, 499)) + " w9999 a b c d e f g same end"])
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(wumanber, "run_hashes_at", lambda hashes, at, length: np.zeros(len(at), np.uint64))
+        [patterns] = wumanber.tables(items, 10)
+        raw, off = flat(text)
+        found = Words(raw, off, ALNUM)
+        where, which = patterns.search(found, found.hashes())
+        got = sorted((w, patterns.owners(p)) for w, p in zip(where.tolist(), which.tolist()))
+        assert got == [(1, [3]), (12, [77]), (23, [499])]
+
+
 def test_decontamination_edge_cases(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     rows = wumanber.contamination(awkward(spark), none).collect()
