@@ -14,7 +14,7 @@ from setwright.operators.joins import lookup_join, needed_only
 from setwright.operators.ledger import Ledger, first_per_key, new_records, verify_feed, verify_records
 from setwright.operators.mean import KINDS, save_mean
 from setwright.plans.pixels import decode_images, subtract_from
-from setwright.session import exists, staged
+from setwright.session import exists, plain_unions, staged
 from setwright.sinks import blobfiles
 from setwright.sinks.writers import WRITERS, Context, SetWriter
 from setwright.sources.archives import expand_archives, holds_archive
@@ -196,6 +196,7 @@ def export(
     if (decode or subtract) and assets is None:
         raise ValueError("decode and subtract need assets")
     spark, out = records.sparkSession, out.rstrip("/")
+    plain_unions(spark)
     ledger = open_ledger(spark, out, name or job.name, mode)
     if mode == "new" and exists(spark, f"{out}/{writer.folder}"):
         writer.clear(spark, out)

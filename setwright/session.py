@@ -50,6 +50,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions put their parts one after the other and say nothing about where keys are.
+
+    Spark 4.1 takes a union of parts that are dealt out by the same key to be dealt out by it, too, and joins or
+    groups it where it is. Adaptive execution may then run the parts in another way: rows do not meet, or the job
+    ends with "Can't zip RDDs with unequal numbers of partitions". Read when a plan is made, so it stays set.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether anything is stored at ``path``, on whatever file system it names."""
     try:

@@ -327,3 +327,20 @@ def test_a_damaged_archive_is_refused(spark):
     whole = tar({"file_id.diz": manifest("a", "b"), "a": b"1" * 5000, "b": bytes(range(256)) * 20})
     got = archives.unpack(spark.createDataFrame([(whole[: len(whole) * 2 // 3],)], "content binary")).collect()
     assert [r["error"] for r in got] == ["broken_archive"]
+
+
+def test_assets_that_are_a_union_of_joins(spark, tmp_path):
+    """Every asset listed twice, by joins and not from a table, where no side of a join is broadcast."""
+    names = [md5(body(i)) + ".bin" for i in range(40)]
+    held = spark.createDataFrame([(f"http://a/{i}", tar({names[i]: body(i), "file_id.diz": manifest(names[i])})) for i in range(40)], "url string, content binary")
+    records = read(spark, *[archive_record(i, f"http://a/{i}") for i in range(40)])
+    listed = records.select(F.col("entries")[0]["url"].alias("url")).filter("NOT url LIKE '%9'")
+    held = held.join(listed, "url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    try:
+        done = export(records, JOB, str(tmp_path / "out"), "jsonl", held.unionByName(held))
+        assert (done.written.count(), sorted(r["reason"] for r in done.rejects.collect())) == (36, ["missing_payload"] * 4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
