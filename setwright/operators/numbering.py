@@ -10,19 +10,51 @@ offset. The only thing that is broadcast has one row per partition.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setwright.operators.joins import lookup_join
 from setwright.session import staged
 
 # monotonically_increasing_id() keeps the partition number above the low 33 bits.
 _SLOT_BITS = 33
-# Rows that one task sorts.
+# Rows, and bytes of them, that one task sorts; the one that is reached first counts.
 ROWS_PER_PARTITION = 1_000_000
+BYTES_PER_PARTITION = 128 * 1024 * 1024
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+
+
+def _wide_bytes(df: DataFrame) -> list[Column]:
+    """Per column whose values have no fixed width, the bytes of a value; structs and maps are counted as JSON."""
+    sizes = []
+    for field in df.schema:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, _FIXED):
+            continue
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, _FIXED):
+            size = F.when(column.isNotNull(), F.size(column) * 8)
+        else:
+            size = F.octet_length(F.to_json(F.struct(column)))
+        sizes.append(F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")))
+    return sizes
+
+
+def _ranges(df: DataFrame, rows: int | None) -> int:
+    """How many tasks are to sort ``df``: by its rows, and by its bytes if any column may be wide."""
+    wide = _wide_bytes(df)
+    if rows is not None and not wide:
+        return max(1, -(-rows // ROWS_PER_PARTITION))
+    size = F.coalesce(F.sum(reduce(add, wide)), F.lit(0)) if wide else F.lit(0)
+    seen = df.agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return max(1, -(-seen["n"] // ROWS_PER_PARTITION), -(-seen["b"] // BYTES_PER_PARTITION))
 
 
 def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None, amount: str | None = None) -> DataFrame:
@@ -30,11 +62,10 @@ def in_order(df: DataFrame, order: Sequence[str], rows: int | None = None, amoun
 
     Rows that tie in ``order`` stay apart: they have different slots, in any order. As long as few tie, ranges
     stay even when a leading column (the set) has one hot value. The number of
-    ranges follows the number of rows. ``amount`` adds ``_run``, its sum over the earlier rows of the range.
+    ranges follows the rows and their bytes. ``amount`` adds ``_run``, its sum over the earlier rows of the range.
     """
-    parts = max(1, -(-(df.count() if rows is None else rows) // ROWS_PER_PARTITION))
     slots = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(_ranges(df, rows), *order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )

@@ -224,3 +224,15 @@ def test_greedy_shards(spark, many_partitions, limit):
             want[i], held = shard, held + (b or 0)
     assert got == want
     assert greedy_shards(df.limit(0), "g", ["k", "id"], "b", limit).count() == 0
+
+
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    """Few rows with long values are sorted by many tasks, and numbered the same."""
+    monkeypatch.setattr(numbering, "BYTES_PER_PARTITION", 20_000, raising=False)
+    df = spark.range(200).select((199 - F.col("id")).alias("id"), F.repeat(F.lit("x"), 500).alias("text"), F.array("id").alias("a"), F.struct("id").alias("s"))
+    ordered = numbering.in_order(df, ["id"])
+    assert ordered.select("_part").distinct().count() >= 4
+    assert numbering.row_positions(df, ["id"]).filter("position <> id").isEmpty()
+    nothing = df.withColumn("text", F.lit(None).cast("string"))
+    assert numbering.row_positions(nothing.limit(0), ["id"]).count() == 0
+    assert numbering.row_positions(nothing, ["id"]).filter("position <> id").isEmpty()
