@@ -38,6 +38,8 @@ SUFFIX = ".tfrecord"
 RAW_RECORD = "_record"
 _HEAD, _TAIL = 12, 4  # length and its checksum; checksum of the data
 _BATCH_ROWS, _BATCH_BYTES = 4096, 16 * 1024 * 1024
+# Bytes that one task reads, unless a file has more, and what opening a file counts for.
+_TASK_BYTES, _OPEN_BYTES = 32 * 1024 * 1024, 256 * 1024
 
 # Declared options of the writer: required, option, example, description.
 OPTIONS = (
@@ -158,9 +160,13 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         self._open()
         old = files_below(self.fs, self.base, SUFFIX) if self.overwrite else []
+        made = set()
         for message in messages:
             for temporary, final in message.files if message else []:
-                self.fs.create_dir(final.rsplit("/", 1)[0], recursive=True)
+                folder = final.rsplit("/", 1)[0]
+                if folder not in made:
+                    self.fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 self.fs.move(temporary, final)
         for info in old:
             self.fs.delete_file(info.path)
@@ -177,11 +183,26 @@ class _Writer(DataSourceArrowWriter):
 
 
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    """Shard files that one task reads one after the other."""
+
+    paths: list[str]
 
     def __post_init__(self):
-        super().__init__(self.path)
+        super().__init__(self.paths)
+
+
+def bundled(files: list[fs.FileInfo]) -> list[list[str]]:
+    """Neighbouring files in groups for one task each: a large file is alone, small ones share a task."""
+    groups, held = [], _TASK_BYTES
+    for info in files:
+        cost = (info.size or 0) + _OPEN_BYTES
+        if held + cost > _TASK_BYTES:
+            groups.append([])
+            held = 0
+        groups[-1].append(info.path)
+        held += cost
+    return groups
 
 
 def read_records(stream, check: bool) -> Iterator[list[bytes]]:
@@ -222,15 +243,15 @@ def read_records(stream, check: bool) -> Iterator[list[bytes]]:
 
 
 class _Reader(DataSourceReader):
-    """One input partition per shard file."""
+    """Input partitions of whole shard files; small ones are read by one task, so that tasks grow with the bytes."""
 
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.schema = options["path"], schema
         self.check = options.get("checksums", "fail") != "ignore"
 
-    def partitions(self) -> list[_File]:
+    def partitions(self) -> list[_Files]:
         filesystem, base = open_base(self.path)
-        return [_File(f.path) for f in files_below(filesystem, base, SUFFIX)] or [_File("")]
+        return [_Files(paths) for paths in bundled(files_below(filesystem, base, SUFFIX))] or [_Files([])]
 
     def _column(self, f: T.StructField, records: list[bytes], features: list[dict], path: str) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -252,18 +273,17 @@ class _Reader(DataSourceReader):
             values = [(v[0].decode() if text else v[0]) if v else None for v in values]
         return pa.array(values, arrow)
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         filesystem, _ = open_base(self.path)
         parse = any(not f.name.startswith("_") for f in self.schema)
-        with filesystem.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
-            for records in read_records(stream, self.check):
-                features = [decode_example(r) for r in records] if parse else []
-                yield pa.RecordBatch.from_arrays(
-                    [self._column(f, records, features, partition.path) for f in self.schema],
-                    names=self.schema.names,
-                )
+        for path in partition.paths:
+            with filesystem.open_input_stream(path, buffer_size=1 << 20) as stream:
+                for records in read_records(stream, self.check):
+                    features = [decode_example(r) for r in records] if parse else []
+                    yield pa.RecordBatch.from_arrays(
+                        [self._column(f, records, features, path) for f in self.schema],
+                        names=self.schema.names,
+                    )
 
 
 class TFRecordSource(DataSource):

@@ -166,3 +166,20 @@ def test_blob_files(spark, tmp_path):
         df.write.format("blobfiles").mode("append").save(str(tmp_path))
     files = list((tmp_path / "data").iterdir())
     assert len(files) == 40 and (tmp_path / "data" / "7.bin").read_bytes() == b"7"
+
+
+def test_small_shards_share_a_task(spark, tmp_path):
+    """Tasks grow with the bytes, not with the number of shards; large files are read by themselves."""
+    tfrecord.register(spark)
+    sample(spark, 400).coalesce(1).write.format("tfrecord").option("entriesPerShard", 5).mode("append").save(str(tmp_path))
+    files = list(tmp_path.rglob("*.tfrecord"))
+    back = spark.read.format("tfrecord").load(str(tmp_path))
+    assert len(files) >= 80 and back.rdd.getNumPartitions() <= 3
+    assert (back.count(), back.select("_file").distinct().count()) == (400, len(files))
+    assert back.groupBy("_file").count().filter("count > 5").isEmpty()
+
+
+def test_bundles_hold_every_file_once():
+    infos = [tfrecord.fs.FileInfo(f"f{i}", size=size) for i, size in enumerate((40 << 20, 1, 1, 20 << 20, 20 << 20, 0))]
+    assert tfrecord.bundled(infos) == [["f0"], ["f1", "f2", "f3"], ["f4", "f5"]]
+    assert tfrecord.bundled([]) == []
